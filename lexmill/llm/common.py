@@ -77,3 +77,9 @@ def lower_ascii(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def where_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """df.where(condition) that keeps the condition above the columns it uses, so that costly ones are computed once."""
+    row = "__row_barrier"
+    return df.withColumn(row, F.monotonically_increasing_id()).where(condition & (F.col(row) >= 0)).drop(row)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.llm import op1_embeddings, op4_simhash
+from lexmill.llm import op1_embeddings, op2_lines, op4_simhash, op9_quality
 
-MODULES = (op1_embeddings, op4_simhash)
+MODULES = (op1_embeddings, op2_lines, op4_simhash, op9_quality)
 
 
 def queries() -> dict:
