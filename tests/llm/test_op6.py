@@ -1,0 +1,73 @@
+import hashlib
+import re
+
+import pytest
+
+from lexmill.llm import op6_pii as o6
+
+
+def brute(text):
+    text = text or ""
+    out = []
+    for rank, (kind, pat) in enumerate(
+        {
+            "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+            "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            "card": r"[0-9]([\x20-]?[0-9])+",
+            "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        }.items()
+    ):
+        for m in re.finditer(pat, text):
+            d = re.sub("[^0-9]", "", m.group())
+            if kind == "ip" and any(int(p) > 255 for p in m.group().split(".")):
+                continue
+            if kind == "card":
+                s = sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, d[::-1])))
+                if not 12 <= len(d) <= 19 or s % 10:
+                    continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((m.start(), rank, kind, m.end()))
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+TEXTS = [
+    None,
+    "",
+    "nothing here",
+    "mail joe.x@mail5.example.com, or a@b.c_d@e.f and a@b@c.d.e",
+    "ip 1.2.3.4.5.6.7.8 and 256.1.1.1 and 001.002.003.004 99999999999.1.1.1",
+    "card 4041894974608795 4111 1111 1111 1111 4111-1111-1111-1112 12",
+    "é😀 call +1 (988) 555-2485 now, +44 20 7946 0958- or +123",
+    "a" * 30000 + "@" + "b." * 3000 + "c",
+    "1 " * 5000 + "+1" * 300,
+    "1" * 20000,
+    "call 415-555-2671 or mail joe (at) example (dot) com; ip fe80:0:0:0:1:2:3:4",
+]
+
+
+def test_base_matches_brute_force(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in o6.find_personal_data(df).select("doc_id", o6.written(o6.F.col("base")).alias("b"), o6.written(o6.F.col("spans")).alias("s")).collect()}
+    for i, t in enumerate(TEXTS):
+        assert rows[i]["b"] == brute(t), t
+        assert set(filter(None, rows[i]["b"].split(","))) <= set(filter(None, rows[i]["s"].split(",")))
+
+
+def test_empty_table(spark):
+    assert o6.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("digits,ok", [("4041894974608795", True), ("4041894974608796", False)])
+def test_luhn(spark, digits, ok):
+    assert spark.range(1).select(o6.luhn(o6.F.lit(digits))).first()[0] is ok
+
+
+def test_digest_of_no_spans():
+    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_em_trusts_agreeing_labelers():
+    counts = {("phone", (1, 1, 1, 1, 1)): 500, ("phone", (-1, -1, -1, 0, -1)): 300, ("phone", (-1, 1, 1, 1, 1)): 30}
+    p = o6.estimate(counts)
+    assert p["phone", (-1, 1, 1, 1, 1)] > 0.5 > p["phone", (-1, -1, -1, 0, -1)]
