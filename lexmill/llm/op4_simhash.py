@@ -142,6 +142,120 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(told, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id"))
 
 
+#: Wide fingerprints, for documents that share much rather than nearly all: 64-bit lanes, and bits that may differ.
+LANES = 4
+WIDE_SHINGLE = 5
+#: Sets of Jaccard similarity 0.8 have a cosine of 8/9, so arccos(8/9) / pi of the bits (15 %) are expected to differ;
+#: the limit stands half a standard deviation above that (42 of 256).
+WIDE_LIMIT = 42
+WIDE_RECALL = 0.97
+_LANE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
+
+
+def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE) -> bytes:
+    """LANES * 64 bits of SimHash over the set of a text's word shingles; empty without words."""
+    words = text.lower().split()
+    if not words:
+        return b""
+    n = max(1, len(words) - shingle + 1)
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
+    lens = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(lens + 1) - 1
+    starts, stops = (ends - lens)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
+    h = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n))
+    ones = np.zeros(64 * LANES, np.int64)
+    for at in range(0, len(h), _SLICE):
+        x = h[at : at + _SLICE, None] * _LANE
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8 * LANES), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
+
+
+def wide_plan(rows: int, recall: float = WIDE_RECALL) -> tuple[int, int]:
+    """(bits a table's key covers, tables): keys sharpen with the logarithm of the rows, tables keep the recall."""
+    bits = max(8, min(40, int(np.ceil(np.log2(max(rows, 2)))) - 4))
+    same = (1 - np.arccos(8 / 9) / np.pi) ** bits
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
+
+
+def link_wide(classes: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
+    """classes(id long, fp binary), fingerprints distinct -> edges(u, v), a spanning forest of each unit's links.
+
+    The reference fingerprints of a table are a base and the patterns over its own choice of bits; equal distances to
+    them, less the base's, make the key. Within a bucket, pairs are discarded by the difference of their distances to
+    pivots over the whole width, and survivors are verified bit by bit.
+    """
+    bits, tables = wide_plan(classes.count())
+    rng = np.random.default_rng(SEED)
+    width = 64 * LANES
+    chosen = np.stack([rng.choice(width, bits, replace=False) for _ in range(tables)])
+    patterns = rng.integers(0, 2, (tables, 2 * bits, bits), dtype=np.int8)  # each table's pivots, on its own bits
+    pivots_full = np.packbits(rng.integers(0, 2, (16, width), dtype=np.uint8), axis=1, bitorder="little").view(np.uint64)
+    keyed_schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("fp", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for at in range(0, big.num_rows, 4096):
+                b = big.slice(at, 4096)
+                fp = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, width // 8)
+                ones = np.unpackbits(fp, axis=1, bitorder="little").astype(np.float32)
+                for t in range(tables):
+                    own = ones[:, chosen[t]]
+                    relative = patterns[t].sum(axis=1) - 2 * (own @ patterns[t].T.astype(np.float32)).astype(np.int8)  # distance to each pivot less that to the base
+                    raw = np.ascontiguousarray(relative.astype(np.int8))
+                    key = np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), t) for r in raw), np.uint64, len(raw))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(1)], schema=keyed_schema)
+
+    def compare(c: dict, same: bool):
+        ids = c["id"].to_numpy()
+        fp = np.frombuffer(b"".join(c["fp"].to_pylist()), np.uint64).reshape(len(ids), LANES)
+        d = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in pivots_full], axis=1)
+        m = len(ids) if same else int(np.count_nonzero(c["first"].to_numpy(zero_copy_only=False)))
+        right = 0 if same else m
+        near = np.ones((m, len(ids) - right), bool)
+        for j in range(d.shape[1]):
+            near &= np.abs(d[:m, j][:, None] - d[right:, j][None, :]) <= limit
+        a, b = np.nonzero(np.triu(near, 1) if same else near)
+        b = b + right
+        ok = np.zeros(len(a), bool)
+        for at in range(0, len(a), 1 << 18):
+            s = slice(at, at + (1 << 18))
+            ok[s] = np.bitwise_count(fp[a[s]] ^ fp[b[s]]).sum(axis=1, dtype=np.int16) <= limit
+        if not ok.any():
+            return None
+        v, root = forest(len(ids), a[ok], b[ok])
+        return {"u": ids[v], "v": ids[root]}
+
+    keyed = classes.select("id", "fp").mapInArrow(run, "key long, id long, fp binary")
+    return compare_units(keyed, 512, compare, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+
+def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs less those whose near-duplicate group holds a smaller id; all columns stay.
+
+    Groups are the components of the links between texts whose five-word shingle sets are estimated to share 0.8 or
+    more, by wide fingerprints. Texts without words are of no group and stay, and so do rows with a null id; of rows
+    that are equal in id and text one stays. An empty table gives an empty table.
+    """
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("fp", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_fingerprint(x.as_buffer().to_pybytes()) if x.is_valid else b"" for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], schema=schema)
+
+    d = own_columns(docs, id_col, text_col).toDF("id", "text").where("id is not null")
+    fps = saved(d.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "id long, th long, fp binary").where("length(fp) > 0"), "wide-fingerprints")
+    classes = saved(fps.groupBy("fp").agg(F.min("id").alias("id")), "wide-classes")
+    member = connected_components(link_wide(classes))
+    low = classes.join(member, "id", "left").select("fp", F.coalesce("component_id", "id").alias("low"))
+    gone = fps.join(low, "fp").where("id > low").select(F.col("id").alias("__gone"), F.col("th").alias("__th")).distinct()
+    ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    left = docs.join(gone, (ident == F.col("__gone")) & (F.xxhash64(text) == F.col("__th")), "left_anti")
+    return left
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
