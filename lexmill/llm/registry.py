@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lexmill.llm import op1_embeddings, op2_lines, op3_mixing, op4_simhash, op5_substrings, op6_pii, op8_language, op9_quality, op10_sentencepiece
+from lexmill.llm import op1_embeddings, op2_lines, op3_mixing, op4_simhash, op5_substrings, op6_pii, op7_html, op8_language, op9_quality, op10_sentencepiece
 
-MODULES = (op1_embeddings, op2_lines, op3_mixing, op4_simhash, op5_substrings, op6_pii, op8_language, op9_quality, op10_sentencepiece)
+MODULES = (op1_embeddings, op2_lines, op3_mixing, op4_simhash, op5_substrings, op6_pii, op7_html, op8_language, op9_quality, op10_sentencepiece)
 
 
 def queries() -> dict:
