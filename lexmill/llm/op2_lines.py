@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ASCII_SPACE, drop_saved, lower_ascii, own_columns, saved, shuffle_partitions, table
+from lexmill.llm.common import ASCII_SPACE, checked_broadcast, drop_saved, lower_ascii, own_columns, saved, shuffle_partitions, table
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -99,7 +99,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for b in range(batches):
         own = held.where(F.col("batch") == b).select("h1", "h2", "doc").distinct()
         runs.add(own.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"), F.max("doc").alias("top_doc")))
-    gone = held.select("h1", "h2", "doc").join(runs.repeated(min_docs), ["h1", "h2"]).where("doc < top_doc")
+    repeated = saved(runs.repeated(min_docs), "repeated-lines")  # a table, so that adaptive execution can split the join on a hot key
+    gone = held.select("h1", "h2", "doc").join(checked_broadcast(repeated), ["h1", "h2"]).where("doc < top_doc")
     gone = gone.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
     lines = F.arrays_zip(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n", -1).alias("l"), _long_line_hashes(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), min_chars).alias("h"))
     key = f"__{id_col}_line_doc"
