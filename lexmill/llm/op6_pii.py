@@ -215,8 +215,11 @@ def written(spans: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_personal_data(own_columns(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    n = {f"n_{k}": F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long") for k in KINDS}
-    return out.select("doc_id", *[c.alias(k) for k, c in n.items()], F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return out.select("doc_id", *[count(k) for k in KINDS], F.sha2(written(F.col("base")).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
 
 
 QUERIES = {"op6_pii": query}

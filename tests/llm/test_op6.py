@@ -71,3 +71,12 @@ def test_em_trusts_agreeing_labelers():
     counts = {("phone", (1, 1, 1, 1, 1)): 500, ("phone", (-1, -1, -1, 0, -1)): 300, ("phone", (-1, 1, 1, 1, 1)): 30}
     p = o6.estimate(counts)
     assert p["phone", (-1, 1, 1, 1, 1)] > 0.5 > p["phone", (-1, -1, -1, 0, -1)]
+
+
+def test_query_counts(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in o6.query(spark, str(tmp_path)).collect():
+        want = brute(TEXTS[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
+        kinds = [x.split(":")[0] for x in want.split(",") if x]
+        assert [r[f"n_{k}"] for k in o6.KINDS] == [kinds.count(k) for k in o6.KINDS]
