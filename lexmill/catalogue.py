@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.plans import retrieval_queries  # noqa: F401
+from lexmill.plans import report_queries, retrieval_queries  # noqa: F401
 from lexmill.plans.registry import QUERIES, SQL
 
 

@@ -49,7 +49,7 @@ def tick_step(lo: Column, hi: Column, count: int) -> Column:
     raw = (hi - lo) / count
     power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
     unit = raw / power
-    return F.when(unit >= 5, 10).when(unit >= 2, 5).when(unit >= 1, 2).otherwise(1) * power
+    return F.when(unit <= 1, 1).when(unit <= 2, 2).when(unit <= 5, 5).otherwise(10) * power
 
 
 def ticks(lo: Column, hi: Column, count: int = 5) -> Column:
