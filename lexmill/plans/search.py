@@ -154,6 +154,7 @@ class Engine:
         share = lambda x, top: F.coalesce(F.col(x) / F.nullif(F.col(top), F.lit(0.0)), F.lit(0.0))
         why = F.concat(F.coalesce("why", F.array().cast("array<struct<ord:int,label:string>>")), F.when(F.col("v").isNotNull(), F.array(F.struct(F.lit(5).alias("ord"), F.lit("similar").alias("label")))).otherwise(F.array().cast("array<struct<ord:int,label:string>>")))
         m = m.select("doc", (W_LEX * share("l", "top_l") + W_VEC * share("v", "top_v")).alias("m"), F.coalesce("named", F.lit(False)).alias("named"), why.alias("why")).join(allowed, "doc")
+        m = m.persist()  # matched documents only; read four times below
         seeds = m.orderBy(F.desc("named"), F.desc("m"), "doc").limit(SEEDS)
         g = self.graph(seeds)
         both = m.join(g, "doc", "left").select("doc", "named", (F.col("m") + F.coalesce(W_GRAPH * F.col("g"), F.lit(0.0))).alias("score"), "why", "note")
