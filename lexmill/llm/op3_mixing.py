@@ -81,12 +81,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     buckets = saved(d.groupBy("__source", "__bucket").agg(F.sum("size").alias("b_size")), "mix-buckets")
     targets = source_targets(buckets.groupBy("__source").agg(F.sum("b_size").alias("source_size")).withColumnRenamed("__source", "source"), weights, max_repeats)
     running = Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    b = buckets.withColumn("b_start", F.coalesce(F.sum("b_size").over(running), F.lit(0))).drop("b_size")
-    b = b.join(targets, F.col("__source").eqNullSafe(F.col("source"))).select(F.col("__source").alias("b_source"), F.col("__bucket").alias("b_bucket"), "b_start", "source_size", "target", "rank")
+    b = buckets.withColumn("__b_start", F.coalesce(F.sum("b_size").over(running), F.lit(0))).drop("b_size")
+    b = b.join(targets, F.col("__source").eqNullSafe(F.col("source"))).select(F.col("__source").alias("__b_source"), F.col("__bucket").alias("__b_bucket"), "__b_start", "source_size", "target", F.col("rank").alias("__rank"))
     rows = Window.partitionBy("__source", "__bucket").orderBy("__order", ident, "size", F.xxhash64(text)).rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("__start", F.coalesce(F.sum("size").over(rows), F.lit(0)))
-    d = d.join(checked_broadcast(saved(b, "mix-starts"), 200_000), F.col("__source").eqNullSafe(F.col("b_source")) & (F.col("__bucket") == F.col("b_bucket")), "left")
-    start = F.col("b_start") + F.col("__start")
+    d = d.join(checked_broadcast(saved(b, "mix-starts"), 200_000), F.col("__source").eqNullSafe(F.col("__b_source")) & (F.col("__bucket") == F.col("__b_bucket")), "left")
+    start = F.col("__b_start") + F.col("__start")
     left = (F.col("target") - start - F.col("size") / 2) / F.greatest("source_size", F.lit(1))
     d = d.withColumn("copies", F.when(F.col("size") == 0, F.lit(1)).otherwise(F.least(F.lit(max_repeats), F.greatest(F.lit(0), F.ceil(left)))).cast("long"))
     d = d.withColumn("taken", F.col("copies") * F.col("size"))
@@ -95,12 +95,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     def placed(k: Column) -> Column:
         out = None
         for i, knots in enumerate(schedules):
-            mine = F.col("rank") % len(schedules) == i
+            mine = F.col("__rank") % len(schedules) == i
             out = F.when(mine, position(share(k), knots)) if out is None else out.when(mine, position(share(k), knots))
         return out
 
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), placed)).otherwise(F.array().cast("array<double>"))
-    return d.withColumn("positions", positions).drop("b_source", "b_bucket", "b_start", "rank", "__start", *own)
+    return d.withColumn("positions", positions).drop("__b_source", "__b_bucket", "__b_start", "__rank", "__start", *own)
 
 
 def training_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
