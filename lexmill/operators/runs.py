@@ -40,14 +40,26 @@ def next_turn_recovery(rows: DataFrame, cell: str, turn: str, present: str) -> D
     return r.groupBy(cell).agg(F.sum(gap.cast("int")).alias("empties"), F.sum((gap & F.coalesce("nxt", F.lit(False))).cast("int")).alias("recovered"))
 
 
+RANK_BUCKETS = 200
+
+
 def rank_test(values: DataFrame, value: str, first: str) -> DataFrame:
     """(m, n, u, p): Mann-Whitney of value where first is true against the rest, mid-ranks for ties.
 
-    Ranks come from counts by distinct value, so what one window runs over is no longer than the distinct values.
+    Ranks are prefix sums at two levels: approximate quantiles cut the values into RANK_BUCKETS ranges, whose totals
+    are a table of that many rows; within a range a window runs over its distinct values. No task sees all values.
     """
-    g = values.where(F.col(value).isNotNull() & F.col(first).isNotNull()).groupBy(value).agg(F.sum(F.col(first).cast("long")).alias("x"), F.count("*").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    g = g.withColumn("mid", before + (F.col("t") + 1) / 2.0)
+    v = values.where(F.col(value).isNotNull() & F.col(first).isNotNull())
+    marks = [i / RANK_BUCKETS for i in range(1, RANK_BUCKETS)]
+    cuts = v.agg(F.percentile_approx(F.col(value).cast("double"), marks, 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
+    g = v.groupBy(value).agg(F.sum(F.col(first).cast("long")).alias("x"), F.count("*").alias("t"))
+    g = g.withColumn("bucket", F.size(F.filter(bounds, lambda c: c < F.col(value))))
+    totals = g.groupBy("bucket").agg(F.sum("t").alias("bt"))
+    totals = totals.select("bucket", F.coalesce(F.sum("bt").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    g = g.withColumn("before", F.coalesce(F.sum("t").over(within), F.lit(0))).join(F.broadcast(totals), "bucket")  # totals: RANK_BUCKETS rows
+    g = g.withColumn("mid", F.col("offset") + F.col("before") + (F.col("t") + 1) / 2.0)
     s = g.agg(F.sum("x").alias("m"), F.sum(F.col("t") - F.col("x")).alias("n"), F.sum(F.col("x") * F.col("mid")).alias("r"))
     s = s.withColumn("u", F.col("r") - F.col("m") * (F.col("m") + 1) / 2.0)
     return s.select("m", "n", "u", rank_test_p(F.col("u"), F.col("m"), F.col("n")).alias("p"))

@@ -404,7 +404,10 @@ def model_setpoint(spark, d):
     return spark.range(-2, 14).select(u.alias("u"), F.round(N.unit_ramp(u), 6).alias("y"))
 
 
-@query("model_switch")
+@query("model_switch", """WITH RECURSIVE s(i, lo, hi) AS (SELECT 0, 1e-3::DOUBLE, 1e6::DOUBLE UNION ALL
+SELECT i + 1, CASE WHEN (1 - exp(-66.3::DOUBLE / ((lo + hi) / 2))) / (1 - exp(-150.0::DOUBLE / ((lo + hi) / 2))) > 0.6 THEN (lo + hi) / 2 ELSE lo END,
+CASE WHEN (1 - exp(-66.3::DOUBLE / ((lo + hi) / 2))) / (1 - exp(-150.0::DOUBLE / ((lo + hi) / 2))) > 0.6 THEN hi ELSE (lo + hi) / 2 END FROM s WHERE i < 100)
+SELECT round((lo + hi) / 2, 6) AS tau FROM s WHERE i = 100""")
 def model_switch(spark, d):
     return spark.range(1).select(F.round(N.bisect_shape(0.6, 66.3, 150.0), 6).alias("tau"))
 

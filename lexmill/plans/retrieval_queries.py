@@ -235,7 +235,9 @@ def pattern_match(spark, d):
     return L.pattern_terms(I.document_frequency(docs(spark, d)), "^ble(in|an)+g?|ther.*ing$")
 
 
-@query("nearest_slug")
+@query("nearest_slug", """WITH q AS (SELECT unnest(['gren', 'alomnd', 'blue']) AS q), n AS (SELECT DISTINCT lower(p_name) AS name FROM part),
+m AS (SELECT q, name, list_min(list_transform(range(greatest(1, length(q) - 2), greatest(1, least(length(name), length(q) + 2)) + 1), lambda k: levenshtein(q, left(name, k)))) AS d FROM q, n)
+SELECT q, arg_min(name, {'d': d, 'n': name}) AS name, min(d)::INT AS distance FROM m GROUP BY q HAVING min(d) <= greatest(1, length(q) // 3)""")
 def nearest_slug(spark, d):
     return L.nearest_prefix(table(spark, d, "part"), "p_name", ["gren", "alomnd", "blue"])
 
@@ -262,7 +264,7 @@ def vec_tfidf(spark, d):
     return I.vectors(docs(spark, d)).select("doc", "dim", F.round("v", 6).alias("v"))
 
 
-@query("vec_quantise")
+@query("vec_quantise", f"WITH {_VEC}, l AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY doc)) AS len FROM v) SELECT doc, dim, greatest(-127, least(127, floor(v / (CASE WHEN len = 0 THEN 1 ELSE len END) * 127 + 0.5)))::INT AS q FROM l")
 def vec_quantise(spark, d):
     return I.quantised(I.vectors(docs(spark, d)))
 
