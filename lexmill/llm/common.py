@@ -83,3 +83,13 @@ def where_computed(df: DataFrame, condition: Column) -> DataFrame:
     """df.where(condition) that keeps the condition above the columns it uses, so that costly ones are computed once."""
     row = "__row_barrier"
     return df.withColumn(row, F.monotonically_increasing_id()).where(condition & (F.col(row) >= 0)).drop(row)
+
+
+def join_grouped(rows: DataFrame, grouped: DataFrame, key: str) -> DataFrame:
+    """Inner join of rows with a table that was grouped by the same long key, such that a hot key's rows can be split.
+
+    Grouping leaves a table partitioned by its key, the join would take it as it is, and adaptive execution does not
+    split a side that isn't read from an exchange. Joining on the key's complement puts an exchange on both sides.
+    """
+    other = "__" + key + "_complement"
+    return rows.withColumn(other, F.bitwise_not(key)).join(grouped.withColumn(other, F.bitwise_not(key)).drop(key), other).drop(other)

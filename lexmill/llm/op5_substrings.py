@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import own_columns, saved, shuffle_partitions, table
+from lexmill.llm.common import join_grouped, own_columns, saved, shuffle_partitions, table
 
 WINDOW = 13
 GRAM = 5
@@ -245,7 +245,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     found = saved(dealt.mapInArrow(nodes, "ha long, hb long, doc long, rid long, pos int, settled boolean"), "repeat-leaves")
     open_leaves = found.where("not settled")
     low = open_leaves.groupBy("ha", "hb").agg(F.min("doc").alias("low"))
-    late = open_leaves.join(low, ["ha", "hb"]).where("doc > low").select("rid", "pos")
+    late = join_grouped(open_leaves, low.withColumnRenamed("hb", "hb2"), "ha").where("hb = hb2 and doc > low").select("rid", "pos")
     return found.where("settled").select("rid", "pos").union(late)
 
 
