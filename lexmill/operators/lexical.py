@@ -39,13 +39,31 @@ def prefix_matches(df: DataFrame, tokens: list[str], cap: int = PREFIX_CAP) -> D
     return hit.withColumn("rank", rank).where(F.col("rank") <= cap + 1).withColumn("capped", F.max(F.col("rank") > cap).over(Window.partitionBy("token"))).where(F.col("rank") <= cap).select("token", "term", "df", (F.col("term") == F.col("token")).alias("exact"), "capped")
 
 
-def lexical(docs: DataFrame, tokens: list[str], strong: DataFrame | None = None, id_col: str = I.ID, text_col: str = I.TEXT) -> DataFrame:
+@dataclass(frozen=True)
+class Totals:
+    """A collection's number of documents and mean length, where a caller has them; they then enter plans as literals."""
+
+    n_docs: int
+    avg_dl: float
+
+
+def totals(docs: DataFrame, text_col: str = I.TEXT) -> Totals:
+    n, a = docs.agg(F.count("*"), F.avg(F.size(T.words(F.col(text_col))))).first()
+    return Totals(n, a or 1.0)
+
+
+def with_totals(hits: DataFrame, docs: DataFrame, known: Totals | None, id_col: str, text_col: str) -> DataFrame:
+    if known is not None:
+        return hits.withColumns({"n_docs": F.lit(known.n_docs), "avg_dl": F.lit(known.avg_dl)})
+    return hits.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs"), F.avg(F.size(T.words(F.col(text_col)))).alias("avg_dl"))))
+
+
+def lexical(docs: DataFrame, tokens: list[str], strong: DataFrame | None = None, id_col: str = I.ID, text_col: str = I.TEXT, known: Totals | None = None) -> DataFrame:
     """(doc, token, term, exact, score): tf-idf hits of exact words and prefixes; strong(doc, term) hits count more."""
     matched = prefix_matches(I.document_frequency(docs, id_col, text_col), tokens)
-    n = docs.agg(F.count("*").alias("n_docs"))
     any_prefix = F.exists(literal_rows(tokens), lambda t: F.startswith(F.col("term"), t))
     own = docs.select(F.col(id_col).alias("doc"), F.explode(T.distinct_terms(F.col(text_col))).alias("term")).where(any_prefix)
-    hits = own.join(matched, "term").crossJoin(F.broadcast(n))
+    hits = with_totals(own.join(matched, "term"), docs, known, id_col, text_col)
     score = idf(F.col("n_docs"), F.col("df")) * F.when(F.col("exact"), 1.0).otherwise(PREFIX_WEIGHT)
     if strong is not None:
         hits = hits.join(strong.select("doc", "term").distinct().withColumn("strong", F.lit(True)), ["doc", "term"], "left")
@@ -53,13 +71,16 @@ def lexical(docs: DataFrame, tokens: list[str], strong: DataFrame | None = None,
     return hits.select("doc", "token", "term", "exact", score.alias("score"))
 
 
-def bm25(docs: DataFrame, tokens: list[str], id_col: str = I.ID, text_col: str = I.TEXT) -> DataFrame:
-    """(doc, term, tf, score) of exact words; a document's length counts all of its words."""
-    size = I.lengths(docs, id_col, text_col)
-    total = size.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    own = I.occurrences(docs, id_col, text_col).where(F.col("term").isin(tokens)).groupBy("doc", "term").agg(F.count("*").alias("n"))
+def bm25(docs: DataFrame, tokens: list[str], id_col: str = I.ID, text_col: str = I.TEXT, known: Totals | None = None) -> DataFrame:
+    """(doc, term, tf, score) of exact words; a document's length counts all of its words.
+
+    A document's own words are counted in its row, so that neither occurrences nor lengths are shuffled.
+    """
+    w = T.words(F.col(text_col))
+    counted = F.transform(literal_rows(tokens), lambda t: F.struct(t.alias("term"), F.size(F.filter(w, lambda x: x == t)).cast("long").alias("n")))
+    own = docs.select(F.col(id_col).alias("doc"), F.size(w).cast("long").alias("dl"), F.explode(F.filter(counted, lambda x: x["n"] > 0)).alias("x")).select("doc", "dl", "x.term", "x.n")
     df = own.groupBy("term").agg(F.count("*").alias("df"))
-    hits = own.join(F.broadcast(df), "term").join(size, "doc").crossJoin(F.broadcast(total))  # df: a row for each query word
+    hits = with_totals(own.join(F.broadcast(df), "term"), docs, known, id_col, text_col)  # df: a row for each query word
     tf = F.least(F.col("n"), F.lit(TF_CAP))
     dl = F.when(F.col("dl") == 0, F.col("avg_dl")).otherwise(F.col("dl"))
     score = bm25_idf(F.col("n_docs"), F.col("df")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avg_dl")))

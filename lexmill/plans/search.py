@@ -74,6 +74,11 @@ class Engine:
     link: DataFrame | None = None
     cites: DataFrame | None = None
     rules: tuple[D.Rule, ...] = field(default_factory=lambda: D.RULES)
+    known: L.Totals | None = None
+
+    def __post_init__(self) -> None:
+        if self.known is None:
+            self.known = L.totals(self.docs)
 
     def _allowed(self, series: str | None, kind: str | None) -> DataFrame:
         d = self.docs.select("doc", "series", "kind")
@@ -85,7 +90,7 @@ class Engine:
         parts = []
         shape = lambda d, score, named, ord_, text: d.select("doc", score.alias("score"), named.alias("named"), F.struct(F.lit(ord_).alias("ord"), text.alias("label")).alias("why"))
         df = I.document_frequency(self.docs, "doc", "text")
-        n = self.docs.agg(F.count("*").alias("n"))
+        n = F.lit(self.known.n_docs)
 
         def boosted(h: DataFrame) -> DataFrame:
             if self.strong is None:
@@ -94,20 +99,20 @@ class Engine:
 
         own = self.docs.select("doc", F.explode(T.distinct_terms(F.col("text"))).alias("term"))
         if spec.tokens:
-            exact = boosted(L.bm25(self.docs, list(spec.tokens), "doc", "text"))
+            exact = boosted(L.bm25(self.docs, list(spec.tokens), "doc", "text", self.known))
             parts.append(shape(exact, F.col("score") * F.col("boost"), F.lit(True), 0, F.concat(F.lit('term: "'), F.col("term"), F.lit('"'))))
-            begun = L.lexical(self.docs, list(spec.tokens), self.strong, "doc", "text").where(~F.col("exact"))
+            begun = L.lexical(self.docs, list(spec.tokens), self.strong, "doc", "text", self.known).where(~F.col("exact"))
             parts.append(shape(begun, F.col("score"), F.lit(False), 1, F.concat(F.lit('prefix: "'), F.col("token"), F.lit('"'))))
         if spec.fuzzy:
             m = L.fuzzy_terms(df, list(spec.fuzzy))
-            h = boosted(own.join(F.broadcast(m), "term").crossJoin(F.broadcast(n)))  # m: FUZZY_CAP rows a query word
+            h = boosted(own.join(F.broadcast(m), "term"))  # m: FUZZY_CAP rows a query word
             text = F.concat(F.lit('fuzzy: "'), F.col("q"), F.lit('" → '), F.col("term"), F.lit(" ("), F.col("distance").cast("string"), F.when(F.col("distance") == 1, " edit)").otherwise(" edits)"))
-            parts.append(shape(h, L.idf(F.col("n"), F.col("df")) * (1 - F.col("distance") / (F.length("q") + 1)) * F.col("boost"), F.lit(False), 2, text))
+            parts.append(shape(h, L.idf(n, F.col("df")) * (1 - F.col("distance") / (F.length("q") + 1)) * F.col("boost"), F.lit(False), 2, text))
         if spec.pattern is not None:
-            h = boosted(own.join(F.broadcast(L.pattern_terms(df, spec.pattern)), "term").crossJoin(F.broadcast(n)))
-            parts.append(shape(h, L.idf(F.col("n"), F.col("df")) * F.col("boost"), F.lit(True), 3, F.lit(f"re: /{spec.pattern}/")))
+            h = boosted(own.join(F.broadcast(L.pattern_terms(df, spec.pattern)), "term"))
+            parts.append(shape(h, L.idf(n, F.col("df")) * F.col("boost"), F.lit(True), 3, F.lit(f"re: /{spec.pattern}/")))
         for p in spec.phrases:
-            weight = df.where(F.col("term").isin(list(p.words))).crossJoin(F.broadcast(n)).agg(F.sum(L.idf(F.col("n"), F.col("df"))).alias("w"))
+            weight = df.where(F.col("term").isin(list(p.words))).agg(F.sum(L.idf(n, F.col("df"))).alias("w"))
             h = L.phrase_hits(self.docs, p, "doc", "text").crossJoin(F.broadcast(weight))
             parts.append(shape(h, F.col("w"), F.lit(True), 4, F.lit(f'phrase: "{p.text}"')))
         if not parts:
@@ -121,9 +126,8 @@ class Engine:
         """(doc, score): cosine of the words' signed hashed idf against quantised document vectors, above the floor."""
         if not spec.tokens or spec.pattern is not None:
             return self.docs.select("doc", F.lit(0.0).alias("score")).limit(0)
-        n = self.docs.agg(F.count("*").alias("n"))
-        known = I.document_frequency(self.docs, "doc", "text").where(F.col("term").isin(list(spec.tokens))).crossJoin(F.broadcast(n))
-        q = known.groupBy(T.dimension(F.col("term")).alias("dim")).agg(F.sum(T.sign(F.col("term")) * L.idf(F.col("n"), F.col("df"))).alias("qv"))
+        known = I.document_frequency(self.docs, "doc", "text").where(F.col("term").isin(list(spec.tokens)))
+        q = known.groupBy(T.dimension(F.col("term")).alias("dim")).agg(F.sum(T.sign(F.col("term")) * L.idf(F.lit(self.known.n_docs), F.col("df"))).alias("qv"))
         v = I.quantised(I.vectors(self.docs, "doc", "text"))
         length = q.agg(F.sqrt(F.sum(F.col("qv") * F.col("qv"))).alias("ql"))
         s = v.join(F.broadcast(q), "dim", "left").groupBy("doc").agg(F.sum(F.col("q") * F.coalesce("qv", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("dl"))  # q: VECTOR_DIM rows at most
