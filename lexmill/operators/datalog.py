@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -114,6 +115,13 @@ def strata(rules: Sequence[Rule]) -> list[list[Rule]] | None:
     return out
 
 
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Make sure that there is one: what the session names, or where it names none (tests) a new folder."""
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+
+
 def evaluate(spark: SparkSession, facts: dict[str, DataFrame], rules: Sequence[Rule] = RULES, rounds: int = ROUND_CAP, tuples: int = TUPLE_CAP) -> Result:
     """Derive all relations. A program without recursion is one lazy plan; else rounds of deltas, each checkpointed."""
     relations = {k: v.distinct() for k, v in facts.items()}
@@ -128,6 +136,7 @@ def evaluate(spark: SparkSession, facts: dict[str, DataFrame], rules: Sequence[R
             for pred, parts in by_head.items():
                 relations[pred] = reduce(DataFrame.union, parts).distinct() if len(parts) > 1 else parts[0]
         return Result(relations, len(order), -1, False)
+    _checkpoint_folder(spark)
     heads = {r.head.pred for r in rules}
     delta: dict[str, DataFrame] = {}
     derived, capped, n = 0, False, 0

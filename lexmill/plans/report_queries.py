@@ -89,10 +89,6 @@ def graph_cap(spark, d):
 
 @query("dl_transitive", "WITH RECURSIVE " + _LINK + ", reach(p, q) AS (SELECT src, dst FROM link UNION SELECT r.p, l.dst FROM reach r JOIN link l ON r.q = l.src) SELECT p, q FROM reach")
 def dl_transitive(spark, d):
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp())
     rules = (D.rule(("reach", "P", "Q"), ("link", "P", "Q")), D.rule(("reach", "P", "Q"), ("reach", "P", "R"), ("link", "R", "Q")))
     return D.evaluate(spark, {"link": nation_links(spark, d)}, rules, rounds=30).relations["reach"].toDF("p", "q")
 
