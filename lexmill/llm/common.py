@@ -19,10 +19,13 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    if path:
+        return path
+    own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not own.isDefined():
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return own.get()
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
