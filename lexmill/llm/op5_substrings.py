@@ -184,7 +184,7 @@ def _bitmap(shared: DataFrame) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """docs(doc long, rid long, text) -> (rid, pos int): windows whose words also start in a document of a smaller doc."""
+    """docs(doc long, th int, text) -> (doc, th, pos int): windows whose words also start in a document of a smaller doc."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     counters = 1 << max(12, min(20, (16 * parts - 1).bit_length()))
@@ -196,7 +196,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     room = max(1000, int(counts[0].sum()) // (4 * parts))
     bitmap = _bitmap(stats.where("kind = 0"))
     shipped = spark.sparkContext.broadcast((bitmap, counts > room, np.minimum(counts[-1] // room + 1, 1 << 14).astype(np.int64)))
-    schema = pa.schema([("subtree", pa.int64()), ("salt", pa.int32()), ("ha", pa.int64()), ("hb", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32())])
+    schema = pa.schema([("subtree", pa.int32()), ("salt", pa.int32()), ("ha", pa.int64()), ("hb", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("pos", pa.int32())])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, large, salts = shipped.value
@@ -215,14 +215,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                     fits = todo & ~large[k][(p % np.uint64(counters)).astype(np.int64)]
                     subtree[fits] = p[fits]
                     todo &= ~fits
-                doc, rid = b.column(0).to_numpy()[s.doc], b.column(1).to_numpy()[s.doc]
+                doc, th = b.column(0).to_numpy()[s.doc], b.column(1).to_numpy()[s.doc]
                 n = np.where(todo, salts[(ha % np.uint64(counters)).astype(np.int64)], 1)
                 salt = np.where(n > 1, (_mix(doc.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64) + 1, 0)
-                yield pa.RecordBatch.from_arrays([_long(subtree), pa.array(salt.astype(np.int32)), _long(ha), _long(hb), pa.array(doc), pa.array(rid), pa.array(s.pos.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array((subtree >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(salt.astype(np.int32)), _long(ha), _long(hb), pa.array(doc), pa.array(th), pa.array(s.pos.astype(np.int32))], schema=schema)
 
-    dealt = docs.select("doc", "rid", "text").mapInArrow(suffixes, "subtree long, salt int, ha long, hb long, doc long, rid long, pos int")
+    dealt = docs.select("doc", "th", "text").mapInArrow(suffixes, "subtree int, salt int, ha long, hb long, doc long, th int, pos int")
     dealt = dealt.repartition(parts, "subtree", "salt").drop("subtree").sortWithinPartitions("salt", "ha", "hb", "doc")
-    found_schema = pa.schema([("ha", pa.int64()), ("hb", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("pos", pa.int32()), ("settled", pa.bool_())])
+    found_schema = pa.schema([("ha", pa.int64()), ("hb", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("pos", pa.int32())])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple | None = None  # salt, ha, hb and smallest document of the node that the last batch ended in
@@ -239,14 +239,14 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
             settled = doc > low
             told = np.flatnonzero(settled | (salt > 0))
             if len(told):
-                cols = [b.column(c).take(pa.array(told)) for c in ("ha", "hb", "doc", "rid", "pos")]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(settled[told])], schema=found_schema)
+                labels = [pa.array(x[told], mask=settled[told]) for x in (ha, hb)]  # only an open leaf is looked at again
+                yield pa.RecordBatch.from_arrays([*labels, *(b.column(c).take(pa.array(told)) for c in ("doc", "th", "pos"))], schema=found_schema)
 
-    found = saved(dealt.mapInArrow(nodes, "ha long, hb long, doc long, rid long, pos int, settled boolean"), "repeat-leaves")
-    open_leaves = found.where("not settled")
+    found = saved(dealt.mapInArrow(nodes, "ha long, hb long, doc long, th int, pos int"), "repeat-leaves")
+    open_leaves = found.where("ha is not null")
     low = open_leaves.groupBy("ha", "hb").agg(F.min("doc").alias("low"))
-    late = join_grouped(open_leaves, low.withColumnRenamed("hb", "hb2"), "ha").where("hb = hb2 and doc > low").select("rid", "pos")
-    return found.where("settled").select("rid", "pos").union(late)
+    late = join_grouped(open_leaves, low.withColumnRenamed("hb", "hb2"), "ha").where("hb = hb2 and doc > low").select("doc", "th", "pos")
+    return found.where("ha is null").select("doc", "th", "pos").union(late)
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,10 +259,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.drop("n_words", "n_removed")
     text = F.col(f"`{text_col}`")
     ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID))
-    keyed = docs.withColumn("__rid", F.xxhash64(ident, text))
-    plain = own_columns(docs, id_col, text_col).toDF("id", "text").select(F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID)).alias("doc"), "text").withColumn("rid", F.xxhash64("doc", "text"))
-    cut = repeated_windows(plain).groupBy("rid").agg(F.collect_set("pos").alias("__starts")).withColumnRenamed("rid", "__rid")
-    joined = keyed.join(cut, "__rid", "left").drop("__rid")
+    keyed = docs.withColumns({"__doc": ident, "__th": F.hash(text)})  # the hash tells rows of one id apart
+    plain = own_columns(docs, id_col, text_col).toDF("id", "text").select(F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID)).alias("doc"), "text").withColumn("th", F.hash("text"))
+    cut = repeated_windows(plain).groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__starts"))
+    joined = keyed.join(cut, ["__doc", "__th"], "left").drop("__doc", "__th")
     schema = T.StructType(docs.schema.fields + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     names = list(docs.columns)
@@ -300,7 +300,20 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op5_substring_dedup": query}
-SQL: dict[str, str] = {}
+SQL = {
+    "op5_substring_dedup": r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 12, 0) + 1)) AS i FROM w),
+k AS (SELECT doc_id, i, array_to_string(ws[i : i + 12], ' ') AS win FROM p),
+f AS (SELECT win, min(doc_id) AS first FROM k GROUP BY win),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS pos FROM k JOIN f USING (win) WHERE doc_id > first),
+x AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS pos, unnest(ws) AS word FROM w),
+y AS (SELECT x.doc_id, x.pos, x.word, g.pos IS NOT NULL AS gone FROM x LEFT JOIN g ON g.doc_id = x.doc_id AND g.pos = x.pos)
+SELECT w.doc_id, count(y.pos) AS n_words, count(y.pos) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM w LEFT JOIN y ON y.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+}
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, str]]:
