@@ -24,9 +24,9 @@ from pyspark.sql import types as T
 
 from lexmill.llm.common import table
 
-TRAIN_PAGES = 500
-ROUNDS = 60
-DEPTH = 4
+TRAIN_PAGES = 600
+ROUNDS = 110
+DEPTH = 5
 RATE = 0.25
 BINS = 24
 SEED = 7
@@ -368,7 +368,7 @@ def synthetic_page(rng: np.random.Generator) -> str:
                 parts.append("<table>" + "".join(f"<tr><td>{_MARK}{words(1, 5)}</td><td>{_MARK}{words(1, 5)}</td></tr>" for _ in range(3)) + "</table>")
             else:
                 parts.append(f"<div>{_MARK}{prose()}</div>")
-            if chance(0.07):
+            if chance(0.1):
                 parts.append(boiler(pick(*inner_kinds)))
         if chance(0.2):
             parts.append(boiler(pick("comments", "social", "footer", "form")))
