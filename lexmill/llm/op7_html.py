@@ -206,7 +206,7 @@ def features(page: Page) -> np.ndarray:
             punct[i] = len(_PUNCT.findall(t))
             blocks[i] = 1
             paras[i] = page.tag[p] == "p" if p >= 0 else 0
-            marks[i] = ("©" in t) + ("|" in t)
+            marks[i] = "©" in t
             seen += len(t)
     for i in range(n - 1, 0, -1):
         p = page.parent[i]
@@ -318,8 +318,10 @@ def synthetic_page(rng: np.random.Generator) -> str:
         out = []
         for w in ws:
             out.append(w + (pick(",", ".", ".", "!", ":") if chance(0.14) else ""))
-        return " ".join(out).capitalize() + pick(".", "", ".")
+        return style(" ".join(out).capitalize() + pick(".", "", "."))
 
+    odd = pick(" ", " ", " ", " | ", "%%% ", "### ", "!! ", "&amp;&amp; ")  # articles of odd style are articles as well
+    style = lambda t: t.replace(" ", odd)
     noise = "".join(pick(*"abcdefghkmqrz") for _ in range(6))
     cls = lambda *names: pick(f' class="{pick(*names)}"', f' id="{pick(*names)}"', f' class="{pick("", noise + " ", "js-")}{pick(*names)}{pick("", "-" + noise, "__wrap", " clearfix")}"')
     prose = lambda: words(5, pick(12, 60, 120))
