@@ -254,17 +254,20 @@ class Trees:
         share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.base = float(np.log(share / (1 - share)))
         z = np.full(n, self.base)
-        code = (binned + np.arange(m) * BINS).ravel()
+        rng = np.random.default_rng(SEED)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-z))
             g, h = y - p, np.maximum(p * (1 - p), 1e-6)
+            some, cols = rng.permutation(n)[: n // 2], np.sort(rng.permutation(m)[: (m + 1) // 2])  # each round sees half of the rows and features
+            w = len(cols)
+            code = (binned[np.ix_(some, cols)] + np.arange(w) * BINS).ravel()
+            gr, hr = np.repeat(g[some], w), np.repeat(h[some], w)
             node = np.zeros(n, np.int64)
             feature, cut = np.zeros((1 << self.depth) - 1, np.int64), np.full((1 << self.depth) - 1, np.inf)
             for level in range(self.depth):
                 k = 1 << level
-                flat = np.repeat(node * m * BINS, m) + code
-                gs = np.bincount(flat, np.repeat(g, m), k * m * BINS).reshape(k, m, BINS)
-                hs = np.bincount(flat, np.repeat(h, m), k * m * BINS).reshape(k, m, BINS)
+                flat = np.repeat(node[some] * w * BINS, w) + code
+                gs, hs = (np.bincount(flat, v, k * w * BINS).reshape(k, w, BINS) for v in (gr, hr))
                 gl, hl = gs.cumsum(2), hs.cumsum(2)
                 gt, ht = gl[:, :, -1:], hl[:, :, -1:]
                 gain = gl**2 / (hl + 1) + (gt - gl) ** 2 / (ht - hl + 1) - gt**2 / (ht + 1)
@@ -272,8 +275,8 @@ class Trees:
                 best = gain.reshape(k, -1).argmax(1)
                 for v in range(k):
                     f, b = divmod(int(best[v]), BINS)
-                    if gain[v, f, b] > 1e-6 and b < len(self.edges[f]):
-                        feature[k - 1 + v], cut[k - 1 + v] = f, self.edges[f][b]
+                    if gain[v, f, b] > 1e-6 and b < len(self.edges[cols[f]]):
+                        feature[k - 1 + v], cut[k - 1 + v] = cols[f], self.edges[cols[f]][b]
                 node = 2 * node + (x[np.arange(n), feature[k - 1 + node]] > cut[k - 1 + node])
             top = np.bincount(node, g, 1 << self.depth) / (np.bincount(node, h, 1 << self.depth) + 1)
             self.trees.append((feature, cut.astype(np.float64), self.rate * top))
