@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import own_columns, table, words_of
+from lexmill.llm.common import checked_broadcast, own_columns, saved, table, words_of
 
 SYMBOLS = r"#*$%&|<>"
 WINDOW = 5
@@ -187,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Rules learned from docs that labels marks 0 (reject) or 1; at most max_rows rows reach the driver."""
     told = own_columns(labels, id_col, label_col).toDF("id", "label").where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
     told = told.orderBy(F.xxhash64("id"), "id").limit(max_rows)
+    told = checked_broadcast(saved(told, "labelled"), max_rows)  # bounded by max_rows; the texts stay where they are
     d = own_columns(docs, id_col, text_col).toDF("id", "text").join(told, "id")
     rows = statistics(d, "text").select(F.xxhash64("id").alias("o"), "label", "base_failed", *FEATURES).limit(2 * max_rows).collect()
     rows.sort(key=lambda r: tuple(r))
