@@ -64,7 +64,8 @@ def _holds(kind: str, match: Column) -> Column:
     """Whether a base match passes its kind's check."""
     digits = F.regexp_replace(match, "[^0-9]", "")
     if kind == "ip":
-        return ~F.exists(F.split(match, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) > 3) | (F.substring(F.ltrim(p, F.lit("0")), 1, 3).cast("int") > 255))
+        bare = F.transform(F.split(match, r"\."), lambda p: F.ltrim(p, F.lit("0")))  # a zero part is left empty
+        return ~F.exists(bare, lambda p: (F.length(p) > 3) | ((F.length(p) == 3) & (p > "255")))
     if kind == "card":
         return F.when(F.length(digits).between(12, 19), luhn(digits)).otherwise(F.lit(False))
     if kind == "phone":

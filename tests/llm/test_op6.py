@@ -80,3 +80,11 @@ def test_query_counts(spark, tmp_path):
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
         kinds = [x.split(":")[0] for x in want.split(",") if x]
         assert [r[f"n_{k}"] for k in o6.KINDS] == [kinds.count(k) for k in o6.KINDS]
+
+
+def test_addresses_with_zero_parts(spark):
+    zero = ["10.0.0.1 and 0.0.0.0", "ip 000.1.2.3, 192.168.0.1 and version 1.0.0.0", "0.0.0.256 then 0.00255.0.0 and 0.1000.0.0 and 00.0.0.0000000099999999999"]
+    df = spark.createDataFrame(list(enumerate(zero)), "doc_id long, text string")
+    for r in o6.find_personal_data(df).select("doc_id", o6.written(o6.F.col("base")).alias("b")).collect():
+        assert r["b"] == brute(zero[r["doc_id"]])
+    assert [brute(t).count("ip:") for t in zero] == [2, 3, 1]
