@@ -103,16 +103,36 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return d.withColumn("positions", positions).drop("__b_source", "__b_bucket", "__b_start", "__rank", "__start", *own)
 
 
-def training_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each taken copy, columns and position, range-partitioned and sorted by position."""
+def training_order(mixed: DataFrame, columns: list[str], ties: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each taken copy, columns and position, range-partitioned and sorted by position, then by ties."""
     parts = shuffle_partitions(mixed.sparkSession)
     out = mixed.select(*[F.col(f"`{c}`") for c in columns], F.explode("positions").alias("__position"))
-    return out.repartitionByRange(parts, "__position").sortWithinPartitions("__position")
+    return out.repartitionByRange(parts, "__position", *ties).sortWithinPartitions("__position", *ties)
+
+
+def with_ranks(mixed: DataFrame) -> DataFrame:
+    """mixed with ranks: the places from 0 that a document's copies take in the training order.
+
+    The places follow from the range-sorted rows: those in the partitions before, and those before in the partition.
+    Copies at one position are ordered by id; rows that are equal in both are alike. A document
+    that is not taken has none.
+    """
+    rows = saved(mixed.withColumn("__row", F.monotonically_increasing_id()), "mix-rows")
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = saved(training_order(rows, ["__row", "doc_id"], ("doc_id",)).select("__row", F.spark_partition_id().alias("__part"), nth.alias("__nth")), "mix-order")
+    counts = placed.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect()  # a row a partition
+    before, starts = 0, []
+    for r in counts:
+        starts.append((r["__part"], before))
+        before += r["n"]
+    starts = F.broadcast(mixed.sparkSession.createDataFrame(starts, "__part int, __before long"))
+    ranks = placed.join(starts, "__part").groupBy("__row").agg(F.array_sort(F.collect_list(F.col("__before") + F.col("__nth"))).alias("ranks"))
+    return rows.join(ranks, "__row", "left").withColumn("ranks", F.coalesce("ranks", F.array().cast("array<long>"))).drop("__row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return with_ranks(out.select("doc_id", "size", "source_size", "target", "taken", "positions"))
 
 
 QUERIES = {"op3_mixing": query}

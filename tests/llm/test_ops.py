@@ -321,3 +321,17 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(seen["quality_rules"]) == {*range(60), 120}
     assert set(seen["simhash_near_dedup"]) == set(range(60)) and set(seen["mixing"]) <= set(range(60))
     assert collections.Counter(seen["mixing"]) == collections.Counter(r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect())
+
+
+def test_mixing_query_returns_the_curriculum(spark, tmp_path):
+    rows = [(i, " ".join(["w"] * (1 + i % 7)), f"s{i % 3}") for i in range(200)] + [(7, "w", "s0"), (7, "w", "s0"), (None, "w w", None), (900, None, "s1"), (901, "", "s1"), (902, "", "s1")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    got = o3.query(spark, str(tmp_path))
+    assert got.columns[:6] == ["doc_id", "size", "source_size", "target", "taken", "positions"]
+    got = got.collect()
+    first = lambda r: str([r[c] for c in ("doc_id", "size", "taken", "positions")])
+    assert sorted(map(first, got)) == sorted(map(first, o3.mix(d).collect()))
+    order = sorted((k, p, -1 if r["doc_id"] is None else r["doc_id"]) for r in got for k, p in zip(r["ranks"], r["positions"]))
+    assert [k for k, _, _ in order] == list(range(len(order))) and [x[1:] for x in order] == sorted(x[1:] for x in order)
+    assert all(len(r["ranks"]) == len(r["positions"]) for r in got) and any(not r["ranks"] for r in got)
