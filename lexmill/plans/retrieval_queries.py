@@ -277,6 +277,14 @@ def vec_cosine_floor(spark, d):
     return V.similar(e, F.broadcast(q)).select("q", "id", F.round("score", 6).alias("score"))  # three stated query vectors
 
 
+@query("vec_cosine_floor_all", """WITH q AS (SELECT vec_id AS q, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], qv) AS s FROM embeddings, q)
+SELECT q, id, round(s, 6) AS score FROM s WHERE s > 0 QUALIFY s >= 0.34 * max(s) OVER (PARTITION BY q)""")
+def vec_cosine_floor_all(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    q = e.where(F.col("id") % 20 == 0).select(F.col("id").alias("q"), "v")
+    return V.similar_in_blocks(e, q).select("q", "id", F.round("score", 6).alias("score"))
+
+
 @query("preview_hits", """WITH p AS (SELECT page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) || ' ' || lower(url) AS hay FROM pages)
 SELECT page_id, contains(hay, 'the')::INT + contains(hay, 'ing')::INT + contains(hay, 'example')::INT AS n FROM p ORDER BY n DESC, page_id LIMIT 3""")
 def preview_hits(spark, d):

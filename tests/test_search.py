@@ -1,11 +1,14 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lexmill.operators import datalog as D
 from lexmill.operators import lexical as L
 from lexmill.operators import runs as U
+from lexmill.operators import vector as V
+from lexmill.plans import retrieval_queries
 from lexmill.plans.search import Engine, label, parse
 
 
@@ -84,3 +87,28 @@ def test_engine(spark):
     found, corrected = e.search_or_corrected("loev")
     assert corrected == "love" and {r["doc"] for r in found.collect() if r["named"]} == {0, 1}
     assert e.search("the of").count() == 0
+
+
+def test_vector_search_in_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((130, 6))
+    x[100:110] = x[0] + 0.1 * rng.standard_normal((10, 6))
+    rows = [(i, [float(a) for a in r]) for i, r in enumerate(x)] + [(200, None), (220, []), (240, [0.0] * 6), (260, [float("nan")] * 6), (280, [None] * 6), (300, [1.0, 2.0]), (None, [2.0, 4.0])]
+    e = spark.createDataFrame(rows, "id long, v array<double>")
+    q = e.where("id % 20 = 0").withColumnRenamed("id", "q")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    s = u[::20] @ u.T
+    want = {(20 * a, b): s[a, b] for a, b in zip(*np.nonzero((s > 0) & (s >= 0.34 * s.max(axis=1)[:, None])))} | {(300, 300): 1.0, (300, None): 1.0}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or all groups meet in one partition
+    for block in (2, 16, 4096):
+        got = V.similar_in_blocks(e, q, block=block).collect()
+        assert len(got) == len(want) and all(r["score"] == pytest.approx(want[r["q"], r["id"]]) for r in got)
+    assert V.similar_in_blocks(e, q.limit(0)).count() == 0
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_vector_search_takes_every_twentieth_row(spark, tmp_path):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(100)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = retrieval_queries.vec_cosine_floor_all(spark, str(tmp_path)).collect()
+    assert {r["q"] for r in got} == {0, 20, 40, 60, 80} and {(r["q"], r["id"]) for r in got} >= {(i, i) for i in range(0, 100, 20)}
