@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.bucket_pairs import compare_units, forest
-from lexmill.llm.common import own_columns, saved, table
+from lexmill.llm.common import checked_broadcast, join_grouped, own_columns, saved, table
 from lexmill.llm.components import connected_components
 
 LIMIT = 2
@@ -232,11 +232,11 @@ def link_wide(classes: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
 
 
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs less those whose near-duplicate group holds a smaller id; all columns stay.
+    """One row of each near-duplicate group, that of the smallest id (then text hash); all columns stay.
 
     Groups are the components of the links between texts whose five-word shingle sets are estimated to share 0.8 or
-    more, by wide fingerprints. Texts without words are of no group and stay, and so do rows with a null id; of rows
-    that are equal in id and text one stays. An empty table gives an empty table.
+    more, by wide fingerprints. Texts without words are of no group and stay, and so do rows with a null id. Where
+    the row to keep is repeated in id and text, one stays, chosen by a hash of its columns. An empty table gives an empty table.
     """
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("fp", pa.binary())])
 
@@ -247,13 +247,24 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     d = own_columns(docs, id_col, text_col).toDF("id", "text").where("id is not null")
     fps = saved(d.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "id long, th long, fp binary").where("length(fp) > 0"), "wide-fingerprints")
-    classes = saved(fps.groupBy("fp").agg(F.min("id").alias("id")), "wide-classes")
+    # a class goes by its fingerprint, as one id may stand on texts of several groups
+    classes = saved(fps.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("first")).select(F.xxhash64("fp").alias("id"), "fp", "first"), "wide-classes")
     member = connected_components(link_wide(classes))
-    low = classes.join(member, "id", "left").select("fp", F.coalesce("component_id", "id").alias("low"))
-    gone = fps.join(low, "fp").where("id > low").select(F.col("id").alias("__gone"), F.col("th").alias("__th")).distinct()
+    group = saved(classes.join(member, "id", "left").select("fp", "first", F.coalesce("component_id", "id").alias("group")), "wide-groups")
+    told = saved(join_grouped(group, group.groupBy("group").agg(F.min("first").alias("keep")), "group").select("fp", "keep"), "wide-kept")
+    gone = (F.col("id") != F.col("keep.id")) | (F.col("th") != F.col("keep.th"))
+    marks = fps.join(told, "fp").groupBy(F.col("id").alias("__gone"), F.col("th").alias("__th")).agg(F.max(gone).alias("gone"), F.count("*").alias("n"))
+    marks = saved(marks.where("gone or n > 1"), "wide-marks")
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    left = docs.join(gone, (ident == F.col("__gone")) & (F.xxhash64(text) == F.col("__th")), "left_anti")
-    return left
+    same = (ident == F.col("__gone")) & (F.xxhash64(text) == F.col("__th"))
+    left = docs.join(marks, same, "left_anti")
+    again = saved(marks.where("not gone").select("__gone", "__th"), "wide-again")
+    if again.isEmpty():
+        return left
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    one = docs.join(checked_broadcast(again), same).groupBy("__gone", "__th").agg(F.min_by(row, order).alias("__one")).select("__one.*")
+    return left.union(one)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -335,3 +335,15 @@ def test_mixing_query_returns_the_curriculum(spark, tmp_path):
     order = sorted((k, p, -1 if r["doc_id"] is None else r["doc_id"]) for r in got for k, p in zip(r["ranks"], r["positions"]))
     assert [k for k, _, _ in order] == list(range(len(order))) and [x[1:] for x in order] == sorted(x[1:] for x in order)
     assert all(len(r["ranks"]) == len(r["positions"]) for r in got) and any(not r["ranks"] for r in got)
+
+
+def test_wide_groups_keep_one_of_repeated_rows(spark):
+    base, far, alone = (" ".join(f"{w}{i}" for i in range(200)) for w in ("token", "thing", "single"))
+    near = base.replace("token50 ", "other ")
+    rows = [(0, base, "a"), (0, base, "a"), (0, base, "b"), (0, near, "a"), (1, base, "a"), (2, alone, "a"), (2, alone, "a"), (3, far, "a"), (0, far, "a"), (5, "", "a"), (5, "", "a")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("m", F.create_map(F.lit("k"), F.col("source")))
+    kept = o4.keep_one_of_each_group(d)
+    assert kept.columns == d.columns
+    group = {base: "base", near: "base", alone: "alone", far: "far", "": ""}
+    got = sorted((group[r["text"]], r["doc_id"]) for r in kept.collect())
+    assert got == [("", 5), ("", 5), ("alone", 2), ("base", 0), ("far", 0)]
