@@ -4,45 +4,52 @@ A repeat of WINDOW words is an internal node of that depth in the suffix tree of
 built whole:
 
 1. Statistics. Every window is summarised by the least of its word GRAM-grams, which equal windows share; a gram value
-   met in one document only cannot lie on a repeat across documents. The same pass counts suffixes by prefixes of
-   DEPTHS words in hashed counters of a fixed number.
+   met in one text only cannot lie on a repeat of different texts. The same pass counts suffixes by prefixes of DEPTHS
+   words in hashed counters of a fixed number, and words for the code table.
 2. Suffixes whose gram value is shared (kept as a bitmap of bounded size that may let others through, but drops none)
    are dealt to subtrees by prefixes of variable length: the shortest of DEPTHS whose counter shows a group of a size
    that suits one task. Where the whole window is still too frequent, its suffixes are salted.
-3. A subtree is built as its sorted suffixes: edges below the prefix are labels of 128 hashed bits down to the window's
-   depth, so runs of equal labels are the nodes of that depth. Leaves of a node in other documents than its smallest
-   are repeats. Salted parts report their smallest leaves, and a last step settles these across the parts.
-4. Covered words are marked by document and the rest is put together.
+3. A subtree is built from its sorted suffixes. A suffix is written down to the window's depth as its words themselves,
+   frequent ones by a prefix-free code of one to three bytes, others in full; so suffixes compare as their words do, and
+   no hash decides. Runs of equal suffixes are the nodes of that depth; leaves of a node in other documents than its
+   first are repeats. Salted parts report their first leaves, and a last step settles these across the parts.
+4. Covered words are marked by document and the rest is put together. Texts that equal one of a smaller document need no
+   tree: all their windows are repeats.
+
+repeated_passages() chains the leaves of deep nodes into maximal repeats: passages that cannot be extended on either side.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import join_grouped, own_columns, saved, shuffle_partitions, table
+from lexmill.llm.common import own_columns, saved, shuffle_partitions, table
 
 WINDOW = 13
 GRAM = 5
 DEPTHS = (1, 2, 4, WINDOW)
 #: Bits of the bitmap of shared gram values: 16 for each, between these bounds (at most 16 MB are broadcast).
 BITS_MIN, BITS_MAX = 1 << 16, 1 << 27
+#: Words that have a code, at most (the table is broadcast); words without one are written in full.
+CODED = 65_000
 _NO_ID = -(1 << 63)
-_CHARS = 1 << 20
+_CHARS = 1 << 21
+_WORDS_HELD = 400_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _RNG = np.random.default_rng(5)
-_BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
 _A = _RNG.integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
-_B = _RNG.integers(1, 1 << 63, WINDOW, dtype=np.uint64) | np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -51,65 +58,88 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word of all texts, one after another, and how many words each text has."""
+def split_words(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has."""
     raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     space = _SPACE[raw]
     begins = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    lens = np.flatnonzero(~space[:-1] & space[1:]) + 1 - begins
     bounds = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, np.int64)
-    upto = np.searchsorted(begins, bounds + 0, side="right") if len(texts) else np.zeros(0, np.int64)
-    counts = np.diff(np.concatenate([[0], upto]))
-    if not len(begins):
-        return np.zeros(0, np.uint64), counts
-    lens = ends - begins
-    chars = np.flatnonzero(~space)
-    place = np.arange(len(chars)) - np.repeat(np.cumsum(lens) - lens, lens)
-    power = np.cumprod(np.full(int(lens.max()) + 1, _STEP))
-    value = _BYTE[raw[chars]] * power[place]
-    return _mix(np.add.reduceat(value, np.cumsum(lens) - lens) + lens.astype(np.uint64)), counts
+    counts = np.diff(np.concatenate([[0], np.searchsorted(begins, bounds, side="right")]))
+    offsets = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[~space]))]), counts
 
 
 class Suffixes:
-    """The windows of several documents: where they start, and hashes of their prefixes and grams."""
+    """The windows of several texts: the text and place of each, and where it starts among all words."""
 
     def __init__(self, texts: list[bytes]):
-        w, counts = word_hashes(texts)
-        self.w = w
+        words, counts = split_words(texts)
+        coded = words.dictionary_encode()
+        self.word, self.distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct), np.uint64, len(self.distinct))[self.word] if len(self.word) else np.zeros(0, np.uint64)
         ends = np.cumsum(counts)
         n = np.maximum(counts - WINDOW + 1, 0)
         self.doc = np.repeat(np.arange(len(texts)), n)
         self.pos = np.arange(len(self.doc)) - np.repeat(np.cumsum(n) - n, n)
         self.at = np.repeat(ends - counts, n) + self.pos
 
-    def _combined(self, depth: int, factors: np.ndarray, w: np.ndarray) -> np.ndarray:
-        m = len(w) - depth + 1
+    def _combined(self, depth: int) -> np.ndarray:
+        m = len(self.hash) - depth + 1
         if m <= 0:
             return np.zeros(0, np.uint64)
-        out = w[:m] * factors[0]
+        out = self.hash[:m] * _A[0]
         for j in range(1, depth):
-            out = out + w[j : j + m] * factors[j]
+            out = out + self.hash[j : j + m] * _A[j]
         return _mix(out + np.uint64(depth))
 
     def prefix(self, depth: int) -> np.ndarray:
-        return self._combined(depth, _A, self.w)[self.at] if len(self.at) else np.zeros(0, np.uint64)
-
-    def label(self) -> np.ndarray:
-        """A second hash of the whole window, from other word hashes and factors."""
-        return self._combined(WINDOW, _B, _mix(self.w ^ _STEP))[self.at] if len(self.at) else np.zeros(0, np.uint64)
+        """A hash of each suffix's first words; it only deals suffixes to subtrees."""
+        return self._combined(depth)[self.at] if len(self.at) else np.zeros(0, np.uint64)
 
     def least_gram(self) -> np.ndarray:
         if not len(self.at):
             return np.zeros(0, np.uint64)
-        g = self._combined(GRAM, _A, self.w)
-        span = WINDOW - GRAM + 1
-        low, have = g, 1
+        low, have, span = self._combined(GRAM), 1, WINDOW - GRAM + 1
         while have < span:
             step = min(have, span - have)
             low = np.minimum(low[: len(low) - step], low[step:])
             have += step
         return low[self.at]
 
+    def only(self, on: np.ndarray) -> None:
+        self.doc, self.pos, self.at = self.doc[on], self.pos[on], self.at[on]
+
+    def written(self, codes: dict[bytes, bytes]) -> pa.BinaryArray:
+        """Each suffix down to the window's depth, in codes."""
+        of = [codes.get(w) or b"\xfe" + w + b" " for w in self.distinct]
+        lens = np.fromiter(map(len, of), np.int64, len(of))
+        flat, starts = np.frombuffer(b"".join(of), np.uint8), np.cumsum(lens) - lens
+        mark = np.zeros(len(self.word) + 1, np.int32)
+        np.add.at(mark, self.at, 1)
+        np.add.at(mark, self.at + WINDOW, -1)
+        used = np.cumsum(mark[:-1]) > 0  # only words on windows that are asked for are laid out
+        own = np.where(used, lens[self.word], 0)
+        stream = flat[np.repeat(starts[self.word], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
+        upto = np.concatenate([[0], np.cumsum(own)])
+        begin, size = upto[self.at], upto[self.at + WINDOW] - upto[self.at]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        data = stream[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])]
+        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def word_codes(words: list[bytes]) -> dict[bytes, bytes]:
+    """Prefix-free codes, short ones first: 200 of one byte, 12,800 of two, the rest of three. 0xFE begins a word in full."""
+    out = {}
+    for r, w in enumerate(words[:CODED]):
+        if r < 200:
+            out[w] = bytes([r])
+        elif r < 13_000:
+            out[w] = bytes([200 + (r - 200) // 256, (r - 200) % 256])
+        else:
+            out[w] = bytes([250 + (r - 13_000) // 65_536, (r - 13_000) // 256 % 256, (r - 13_000) % 256])
+    return out
+
 
 def _sliced(big: pa.RecordBatch, col: int) -> Iterator[pa.RecordBatch]:
     sizes = [len(x.as_buffer()) if x.is_valid else 0 for x in big.column(col)]
@@ -132,28 +162,37 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _statistics(docs: DataFrame, counters: int) -> DataFrame:
-    """docs(doc, text) -> (kind, key, lo, hi, n): kind 0 has gram values met in several documents, others a depth's counters."""
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("v", pa.int64())])
+    """docs(doc, th, text) -> (kind, key, word, lo, hi, n): kind 0 has gram values met in several texts, -1 words that are frequent in a task, others a depth's counters."""
+    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("word", pa.binary()), ("v", pa.int64())])
+
+    def rows(kind: int, key: pa.Array, v: pa.Array, word: pa.Array | None = None) -> pa.RecordBatch:
+        n = len(key)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), key, word if word is not None else pa.nulls(n, pa.binary()), v], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(DEPTHS), counters), np.int64)
+        counts, words, total = np.zeros((len(DEPTHS), counters), np.int64), Counter(), 0
         for big in batches:
             for b in _sliced(big, 1):
                 s = Suffixes(_bytes(b.column(1)))
+                total += len(s.word)
+                words.update(dict(zip(s.distinct, np.bincount(s.word, minlength=len(s.distinct)).tolist())))
+                if len(words) > _WORDS_HELD:
+                    words = Counter({w: n for w, n in words.items() if n > total >> 16})
                 for k, d in enumerate(DEPTHS):
                     counts[k] += np.bincount((s.prefix(d) % np.uint64(counters)).astype(np.int64), minlength=counters)
-                g, doc = s.least_gram(), b.column(0).to_numpy()[s.doc]
+                g, text = s.least_gram(), b.column(0).to_numpy()[s.doc]
                 if len(g):
-                    new = np.concatenate([[True], (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])])
-                    g, doc = g[new], doc[new]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(g), np.int32)), _long(g), pa.array(doc)], schema=schema)
+                    new = np.concatenate([[True], (g[1:] != g[:-1]) | (text[1:] != text[:-1])])
+                    yield rows(0, _long(g[new]), pa.array(text[new]))
         for k in range(len(DEPTHS)):
             at = np.flatnonzero(counts[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k + 1, np.int32)), pa.array(at), pa.array(counts[k][at])], schema=schema)
+            yield rows(k + 1, pa.array(at), pa.array(counts[k][at]))
+        told = [(w, n) for w, n in words.items() if n > max(1, total >> 16)]
+        yield rows(-1, pa.array(np.zeros(len(told), np.int64)), pa.array([n for _, n in told], pa.int64()), pa.array([w for w, _ in told], pa.binary()))
 
-    found = docs.select("doc", "text").mapInArrow(run, "kind int, key long, v long")
-    found = found.groupBy("kind", "key").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(F.when(F.col("kind") > 0, F.col("v"))).alias("n"))
-    return saved(found.where((F.col("kind") > 0) | (F.col("lo") < F.col("hi"))), "suffix-statistics")
+    found = docs.select("th", "text").mapInArrow(run, "kind int, key long, word binary, v long")
+    found = found.groupBy("kind", "key", "word").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(F.when(F.col("kind") != 0, F.col("v"))).alias("n"))
+    return saved(found.where((F.col("kind") != 0) | (F.col("lo") < F.col("hi"))), "suffix-statistics")
 
 
 def _bitmap(shared: DataFrame) -> np.ndarray:
@@ -184,7 +223,10 @@ def _bitmap(shared: DataFrame) -> np.ndarray:
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """docs(doc long, th int, text) -> (doc, th, pos int): windows whose words also start in a document of a smaller doc."""
+    """docs(doc long, th long, text) -> (doc, th, pos int, first): windows whose words also start in a document of a smaller doc.
+
+    first (doc, th, pos) is where the words start first. Windows that only stand in equal texts (of one th) are left out.
+    """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     counters = 1 << max(12, min(20, (16 * parts - 1).bit_length()))
@@ -194,12 +236,13 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     if told.num_rows:
         counts[told.column("kind").to_numpy() - 1, told.column("key").to_numpy()] = told.column("n").to_numpy()
     room = max(1000, int(counts[0].sum()) // (4 * parts))
+    codes = word_codes([bytes(r["word"]) for r in stats.where("kind = -1").orderBy(F.desc("n"), "word").limit(CODED).select("word").collect()])
     bitmap = _bitmap(stats.where("kind = 0"))
-    shipped = spark.sparkContext.broadcast((bitmap, counts > room, np.minimum(counts[-1] // room + 1, 1 << 14).astype(np.int64)))
-    schema = pa.schema([("subtree", pa.int32()), ("salt", pa.int32()), ("ha", pa.int64()), ("hb", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("pos", pa.int32())])
+    shipped = spark.sparkContext.broadcast((bitmap, counts > room, np.minimum(counts[-1] // room + 1, 1 << 14).astype(np.int64), codes))
+    schema = pa.schema([("subtree", pa.int32()), ("salt", pa.int32()), ("suffix", pa.binary()), ("doc", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, large, salts = shipped.value
+        bits, large, salts, codes = shipped.value
         for big in batches:
             for b in _sliced(big, 2):
                 s = Suffixes(_bytes(b.column(2)))
@@ -207,46 +250,75 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                 on = np.flatnonzero((bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7))).astype(np.uint8)) & 1)
                 if not len(on):
                     continue
-                s.doc, s.pos, s.at = s.doc[on], s.pos[on], s.at[on]
-                ha, hb = s.prefix(WINDOW), s.label()
-                subtree, todo = ha.copy(), np.ones(len(on), bool)
+                s.only(on)
+                whole = s.prefix(WINDOW)
+                subtree, todo = whole.copy(), np.ones(len(on), bool)
                 for k, d in enumerate(DEPTHS[:-1]):
                     p = s.prefix(d)
                     fits = todo & ~large[k][(p % np.uint64(counters)).astype(np.int64)]
                     subtree[fits] = p[fits]
                     todo &= ~fits
                 doc, th = b.column(0).to_numpy()[s.doc], b.column(1).to_numpy()[s.doc]
-                n = np.where(todo, salts[(ha % np.uint64(counters)).astype(np.int64)], 1)
+                n = np.where(todo, salts[(whole % np.uint64(counters)).astype(np.int64)], 1)
                 salt = np.where(n > 1, (_mix(doc.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64) + 1, 0)
-                yield pa.RecordBatch.from_arrays([pa.array((subtree >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(salt.astype(np.int32)), _long(ha), _long(hb), pa.array(doc), pa.array(th), pa.array(s.pos.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array((subtree >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(salt.astype(np.int32)), s.written(codes), pa.array(doc), pa.array(th), pa.array(s.pos.astype(np.int32))], schema=schema)
 
-    dealt = docs.select("doc", "th", "text").mapInArrow(suffixes, "subtree int, salt int, ha long, hb long, doc long, th int, pos int")
-    dealt = dealt.repartition(parts, "subtree", "salt").drop("subtree").sortWithinPartitions("salt", "ha", "hb", "doc")
-    found_schema = pa.schema([("ha", pa.int64()), ("hb", pa.int64()), ("doc", pa.int64()), ("th", pa.int32()), ("pos", pa.int32())])
+    dealt = docs.select("doc", "th", "text").mapInArrow(suffixes, "subtree int, salt int, suffix binary, doc long, th long, pos int")
+    dealt = dealt.repartition(parts, "subtree", "salt").drop("subtree").sortWithinPartitions("salt", "suffix", "doc", "th", "pos")
+    found_schema = pa.schema([("suffix", pa.binary()), ("doc", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("fdoc", pa.int64()), ("fth", pa.int64()), ("fpos", pa.int32())])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # salt, ha, hb and smallest document of the node that the last batch ended in
+        last: tuple | None = None  # salt and words of the node that the last batch ended in
+        first: list = []  # and its first leaf
         for b in batches:
             if not b.num_rows:
                 continue
-            salt, ha, hb, doc = (b.column(c).to_numpy() for c in ("salt", "ha", "hb", "doc"))
-            new = np.concatenate([[last is None or last[:3] != (salt[0], ha[0], hb[0])], (salt[1:] != salt[:-1]) | (ha[1:] != ha[:-1]) | (hb[1:] != hb[:-1])])
+            salt, suffix = b.column("salt").to_numpy(), b.column("suffix")
+            leaf = [b.column(c).to_numpy() for c in ("doc", "th", "pos")]
+            same = pc.equal(suffix.slice(1), suffix.slice(0, len(suffix) - 1)).to_numpy(zero_copy_only=False) & (salt[1:] == salt[:-1])
+            new = np.concatenate([[last is None or last != (salt[0], suffix[0].as_py())], ~same])
             heads = np.flatnonzero(new)
-            low = doc[heads[np.maximum(np.cumsum(new) - 1, 0)]] if len(heads) else np.full(len(doc), last[3])
-            if not new[0]:
-                low[: heads[0] if len(heads) else len(low)] = last[3]
-            last = (salt[-1], ha[-1], hb[-1], low[-1])
-            settled = doc > low
+            own = np.cumsum(new) - 1  # -1 goes on with the last batch's node
+            low = [np.where(own >= 0, x[heads[np.maximum(own, 0)]] if len(heads) else 0, first[i] if first else 0) for i, x in enumerate(leaf)]
+            last, first = (salt[-1], suffix[-1].as_py()), [x[-1] for x in low]
+            settled = leaf[0] > low[0]
             told = np.flatnonzero(settled | (salt > 0))
             if len(told):
-                labels = [pa.array(x[told], mask=settled[told]) for x in (ha, hb)]  # only an open leaf is looked at again
-                yield pa.RecordBatch.from_arrays([*labels, *(b.column(c).take(pa.array(told)) for c in ("doc", "th", "pos"))], schema=found_schema)
+                at = pa.array(told)
+                only_open = pa.array(np.where(settled[told], -1, told), mask=settled[told])  # words go on only with an open leaf
+                yield pa.RecordBatch.from_arrays([suffix.take(only_open), *(b.column(c).take(at) for c in ("doc", "th", "pos")), *(pa.array(x[told].astype(t)) for x, t in zip(low, (np.int64, np.int64, np.int32)))], schema=found_schema)
+
+    found = saved(dealt.mapInArrow(nodes, "suffix binary, doc long, th long, pos int, fdoc long, fth long, fpos int"), "repeat-leaves")
+    settled = found.where("suffix is null").select("doc", "th", "pos", F.struct(F.col("fdoc").alias("doc"), F.col("fth").alias("th"), F.col("fpos").alias("pos")).alias("first"))
+    open_leaves = found.where("suffix is not null").select("suffix", "doc", "th", "pos")
+    low = saved(open_leaves.groupBy("suffix").agg(F.min(F.struct("doc", "th", "pos")).alias("first")), "salted-nodes")  # a table, so that the join on a hot node can be split
+    return settled.union(open_leaves.join(low, "suffix").where("doc > first.doc").select("doc", "th", "pos", "first"))
+
+
+def text_key(text: Column) -> Column:
+    """What tells texts of one document apart: 64 bits of their SHA-256, mixed."""
+    return F.xxhash64(F.sha2(text.cast("binary"), 256))
 
-    found = saved(dealt.mapInArrow(nodes, "ha long, hb long, doc long, th int, pos int"), "repeat-leaves")
-    open_leaves = found.where("ha is not null")
-    low = open_leaves.groupBy("ha", "hb").agg(F.min("doc").alias("low"))
-    late = join_grouped(open_leaves, low.withColumnRenamed("hb", "hb2"), "ha").where("hb = hb2 and doc > low").select("doc", "th", "pos")
-    return found.where("ha is null").select("doc", "th", "pos").union(late)
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    d = own_columns(docs, id_col, text_col).toDF("id", "text")
+    return d.select(F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID)).alias("doc"), "text").withColumn("th", text_key(F.col("text")))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Maximal repeats: (doc, start, n_words, first_doc, first_start), words counted from 0.
+
+    Each row is a passage of at least WINDOW words of a document that stands, word by word, at first_start of first_doc,
+    where its windows start first; it can't be extended on either side with that. Texts that equal another one are
+    taken once, in their smallest document. Rows of one id are one document, all null ids one below all others.
+    """
+    d = _keyed(docs, id_col, text_col).where("text is not null").groupBy("th").agg(F.min(F.struct("doc", "text")).alias("x")).select("x.doc", "th", "x.text")
+    leaves = repeated_windows(saved(d, "distinct-texts"))
+    shift = (F.col("pos") - F.col("first.pos")).alias("shift")
+    leaves = leaves.select("doc", "th", "pos", F.col("first.doc").alias("first_doc"), F.col("first.th").alias("fth"), shift)
+    nth = F.row_number().over(Window.partitionBy("doc", "th", "first_doc", "fth", "shift").orderBy("pos"))
+    runs = leaves.withColumn("run", F.col("pos") - nth).groupBy("doc", "th", "first_doc", "fth", "shift", "run").agg(F.min("pos").alias("start"), (F.count("*") + WINDOW - 1).alias("n_words"))
+    return runs.select("doc", "start", "n_words", "first_doc", (F.col("start") - F.col("shift")).alias("first_start"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,9 +331,13 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = docs.drop("n_words", "n_removed")
     text = F.col(f"`{text_col}`")
     ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID))
-    keyed = docs.withColumns({"__doc": ident, "__th": F.hash(text)})  # the hash tells rows of one id apart
-    plain = own_columns(docs, id_col, text_col).toDF("id", "text").select(F.coalesce(F.col("id").cast("long"), F.lit(_NO_ID)).alias("doc"), "text").withColumn("th", F.hash("text"))
-    cut = repeated_windows(plain).groupBy(F.col("doc").alias("__doc"), F.col("th").alias("__th")).agg(F.collect_set("pos").alias("__starts"))
+    keyed = docs.withColumns({"__doc": ident, "__th": text_key(text)})
+    plain = _keyed(docs, id_col, text_col)
+    starts = repeated_windows(plain).groupBy("doc", "th").agg(F.collect_set("pos").alias("starts"))
+    rows = saved(plain.where("text is not null").select("doc", "th").distinct(), "text-keys")
+    first = rows.groupBy("th").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    copies = rows.join(saved(first, "copied-texts"), "th").where("doc > first").select("doc", "th", F.lit(True).alias("copy"))
+    cut = starts.join(copies, ["doc", "th"], "full").select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("starts").alias("__starts"), F.col("copy").alias("__copy"))
     joined = keyed.join(cut, ["__doc", "__th"], "left").drop("__doc", "__th")
     schema = T.StructType(docs.schema.fields + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
 
@@ -271,20 +347,21 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         for big in batches:
             for b in _sliced(big, big.schema.get_field_index(text_col)):
                 texts, n_words, n_removed = [], [], []
-                for t, starts in zip(b.column(text_col), b.column("__starts")):
+                for t, starts, copy in zip(b.column(text_col), b.column("__starts"), b.column("__copy")):
                     raw = t.as_buffer().to_pybytes() if t.is_valid else None
                     words = raw.split() if raw else []
                     n_words.append(len(words))
-                    if starts.is_valid:
+                    gone = 0
+                    if copy.is_valid and len(words) >= WINDOW:
+                        raw, gone = b"", len(words)
+                    elif starts.is_valid and not copy.is_valid:
                         mark = np.zeros(len(words) + 1, np.int64)
                         at = starts.values.to_numpy()
                         np.add.at(mark, at, 1)
                         np.add.at(mark, at + WINDOW, -1)
                         keep = np.flatnonzero(np.cumsum(mark[:-1]) == 0).tolist()
-                        raw = b" ".join([words[i] for i in keep])
-                        n_removed.append(len(words) - len(keep))
-                    else:
-                        n_removed.append(0)
+                        raw, gone = b" ".join([words[i] for i in keep]), len(words) - len(keep)
+                    n_removed.append(gone)
                     texts.append(raw)
                 new = {text_col: pa.array(texts, pa.binary()).cast(pa.string())}
                 cols = [new.get(x, b.column(x)) for x in names]
@@ -330,3 +407,23 @@ def brute_force(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int,
         kept = b" ".join(x for k, x in enumerate(w) if k not in gone)
         out[i] = (len(w), len(gone), hashlib.sha256(kept).hexdigest())
     return out
+
+
+def brute_force_passages(rows: list[tuple[int, str | None]]) -> set[tuple[int, int, int, int, int]]:
+    """What repeated_passages() has to return for rows of distinct ids and texts; for tests."""
+    words = {i: (t or "").encode().split() for i, t in rows}
+    first: dict[tuple, tuple[int, int]] = {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - WINDOW + 1):
+            first.setdefault(tuple(words[i][k : k + WINDOW]), (i, k))
+    out, n = set(), lambda i: len(words[i]) - WINDOW + 1
+    for i, w in words.items():
+        at = [first[tuple(w[k : k + WINDOW])] for k in range(n(i))]
+        for k in range(n(i)):
+            f, p = at[k]
+            if f < i and not (k and at[k - 1] == (f, p - 1)):
+                m = 1
+                while k + m < n(i) and at[k + m] == (f, p + m):
+                    m += 1
+                out.add((i, k, m + WINDOW - 1, f, p))
+    return out

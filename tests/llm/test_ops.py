@@ -347,3 +347,39 @@ def test_wide_groups_keep_one_of_repeated_rows(spark):
     group = {base: "base", near: "base", alone: "alone", far: "far", "": ""}
     got = sorted((group[r["text"]], r["doc_id"]) for r in kept.collect())
     assert got == [("", 5), ("", 5), ("alone", 2), ("base", 0), ("far", 0)]
+
+
+def test_substrings_compare_words_not_hashes(spark):
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a  # words whose polynomial hashes modulo 2**64 are equal
+    rest = " ".join(f"r{i}" for i in range(12))
+    rows = [(0, f"{a} {rest}"), (1, f"{b} {rest}"), (2, f"{b} {rest}"), (3, f"{rest} {a}")]
+    got = {r["doc_id"]: r["n_removed"] for r in o5.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 13, 3: 0}
+
+
+def test_suffix_codes_are_prefix_free():
+    codes = o5.word_codes([b"w%d" % i for i in range(o5.CODED + 5)])
+    assert len(codes) == o5.CODED and len(set(codes.values())) == o5.CODED and all(c[0] < 254 for c in codes.values())
+    assert {len(c) for c in codes.values()} == {1, 2, 3} and all((len(c) == 1) == (c[0] < 200) and (len(c) == 3) == (c[0] >= 250) for c in codes.values())
+    rng = np.random.default_rng(0)
+    words = [b"w%d" % i for i in rng.integers(0, 3, 400)] + [b"unseen\xfe", b"unseen"] * 20
+    s = o5.Suffixes([b" ".join(words), b"", b" ".join(words[100:200])])
+    same = collections.defaultdict(set)
+    for x, d, p in zip(s.written({b"w0": b"\x00", b"w1": b"\xc8\x00"}).to_pylist(), s.doc, s.pos):
+        own = words if d == 0 else words[100:200]
+        same[tuple(own[p : p + 13])].add(x)
+    assert all(len(v) == 1 for v in same.values()) and len({x for v in same.values() for x in v}) == len(same)
+
+
+def test_maximal_repeats_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 2, 60))) for i in range(25)]
+    rows += [(i, f"{PASSAGE} own{i} {PASSAGE} " + " ".join(f"z{i}{k}" for k in range(20))) for i in range(30, 36)] + [(40, None), (41, "")]
+    got = [tuple(r) for r in o5.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and set(got) == o5.brute_force_passages(rows)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in o5.dedup_substrings(d).collect()}
+    assert cut == {i: x[:2] for i, x in o5.brute_force(rows).items()}
+    assert o5.repeated_passages(d.limit(0)).count() == 0
