@@ -36,8 +36,12 @@ def compare_units(rows: DataFrame, block: int, compare: Callable[[dict, bool], d
     compare(columns, same): columns maps names to arrow arrays of the unit's rows, first block first; same says that
     the unit is one block against itself, else columns["first"] tells the two apart. Returns arrays by name, or None.
     """
-    dealt = units(rows, block)
-    spark = rows.sparkSession
+    return compare_dealt(units(rows, block), compare, schema, out_schema)
+
+
+def compare_dealt(dealt: DataFrame, compare: Callable[[dict, bool], dict | None], schema: str, out_schema: pa.Schema) -> DataFrame:
+    """Apply compare to rows that are already dealt to units, as units() does."""
+    spark = dealt.sparkSession
     dealt = dealt.repartition(shuffle_partitions(spark), "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", F.desc("first"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

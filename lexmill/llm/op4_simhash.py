@@ -2,9 +2,9 @@
 
 A fingerprint has a bit for each of 64 positions, set where over half of the shingle hashes have it set. Reference
 fingerprints (pivots) are an all-zero base and PER_RANGE seeded patterns within each of RANGES bit ranges. Every
-fingerprint gets its Hamming distances to all of them, once. By the triangle inequality, fingerprints that differ in
-d bits differ by at most d in each of these coordinates, so pairs are discarded by their maximum coordinate
-difference before the survivors' bits are compared.
+fingerprint gets its Hamming distances to all of them, once, in a stored table. By the triangle inequality, fingerprints
+that differ in d bits differ by at most d in each of these coordinates, so pairs are discarded by their maximum
+coordinate difference, from the stored distances, before the survivors' bits are compared.
 
 Pairs to look at come from the same distance tables: the distance to a pivot less the distance to the base depends on
 that pivot's range alone, and d <= LIMIT differing bits leave at least RANGES - LIMIT ranges untouched. So two linked
@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.bucket_pairs import compare_units, forest
+from lexmill.llm.bucket_pairs import compare_dealt, compare_units, forest
 from lexmill.llm.common import checked_broadcast, join_grouped, own_columns, saved, table
 from lexmill.llm.components import connected_components
 
@@ -86,27 +86,41 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep_text_hash: bool =
     return docs.select(F.col("id"), F.col("text")).mapInArrow(run, "id long, fp long")
 
 
+def distance_table(classes: DataFrame, refs: np.ndarray = PIVOTS) -> DataFrame:
+    """classes(id long, fp long) -> (id, fp, distances binary: one byte a reference fingerprint), stored."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("distances", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d = distances(b.column(1).to_numpy().view(np.uint64), refs)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in d], pa.binary())], schema=schema)
+
+    return saved(classes.select("id", "fp").mapInArrow(run, "id long, fp long, distances binary"), "pivot-distances")
+
+
+def _unpacked(col: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.int8).reshape(len(col), width)
+
+
 def link_fingerprints(classes: DataFrame, limit: int = LIMIT, ranges: int = RANGES) -> DataFrame:
     """classes(id long, fp long), fingerprints distinct -> edges(u, v): a spanning forest of each unit's links."""
     refs = pivots(ranges)
     per = (len(refs) - 1) // ranges
     choices = list(combinations(range(ranges), ranges - limit))
-    keyed_schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("fp", pa.int64())])
+    keyed_schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("fp", pa.int64()), ("distances", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = b.column(1).to_numpy().view(np.uint64)
-            d = distances(fp, refs)
+            d = _unpacked(b.column(2), len(refs))
             relative = d[:, 1:] - d[:, :1]
             for c, own in enumerate(choices):
                 cols = np.concatenate([np.arange(r * per, (r + 1) * per) for r in own])
                 raw = np.ascontiguousarray(relative[:, cols])
                 key = np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), c) for r in raw), np.uint64, len(raw))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(1)], schema=keyed_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], schema=keyed_schema)
 
     def compare(c: dict, same: bool):
-        ids, fp = c["id"].to_numpy(), c["fp"].to_numpy().view(np.uint64)
-        d = distances(fp, refs)
+        ids, fp, d = c["id"].to_numpy(), c["fp"].to_numpy().view(np.uint64), _unpacked(c["distances"], len(refs))
         m = 0 if same else int(np.count_nonzero(c["first"].to_numpy(zero_copy_only=False)))
         left, right = (np.arange(len(ids)), 0) if same else (np.arange(m), m)
         near = np.ones((len(left), len(ids) - right), bool)
@@ -120,7 +134,7 @@ def link_fingerprints(classes: DataFrame, limit: int = LIMIT, ranges: int = RANG
         v, root = forest(len(ids), a[ok], b[ok])
         return {"u": ids[v], "v": ids[root]}
 
-    keyed = classes.select("id", "fp").mapInArrow(run, "key long, id long, fp long")
+    keyed = distance_table(classes, refs).mapInArrow(run, "key long, id long, fp long, distances binary")
     return compare_units(keyed, BLOCK, compare, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
 
@@ -142,27 +156,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(told, "fp", "left").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-#: Wide fingerprints, for documents that share much rather than nearly all: 64-bit lanes, and bits that may differ.
+#: Wide fingerprints, for documents that share much rather than nearly all: 64-bit lanes, shingle words, similarity.
 LANES = 4
 WIDE_SHINGLE = 5
-#: Sets of Jaccard similarity 0.8 have a cosine of 8/9, so arccos(8/9) / pi of the bits (15 %) are expected to differ;
-#: the limit stands half a standard deviation above that (42 of 256).
-WIDE_LIMIT = 42
+SIMILARITY = 0.8
+#: Bits that may differ in a candidate pair. Sets of Jaccard similarity 0.8 have a cosine of 8/9, so arccos(8/9) / pi of
+#: the bits (15 %, 38 of 256, deviation 5.7) are expected to; the limit stands 2.5 deviations above. Candidates are verified.
+WIDE_LIMIT = 53
 WIDE_RECALL = 0.97
+#: Rows, and bytes of shingle sets, that a block of the exact comparison is expected to hold.
+VERIFY_ROWS, VERIFY_BYTES = 256, 1 << 24
 _LANE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
 
-def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE) -> bytes:
-    """LANES * 64 bits of SimHash over the set of a text's word shingles; empty without words."""
+def shingle_set(text: bytes, shingle: int = WIDE_SHINGLE) -> np.ndarray:
+    """The sorted XXH64 hashes of a text's distinct word shingles (fewer words: the whole sequence; none: empty)."""
     words = text.lower().split()
     if not words:
-        return b""
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     digest, joined = xxhash.xxh64_intdigest, b" ".join(words)
     lens = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lens + 1) - 1
     starts, stops = (ends - lens)[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
-    h = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n))
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), np.uint64, n))
+
+
+def wide_fingerprint(h: np.ndarray) -> bytes:
+    """LANES * 64 bits of SimHash over a set of shingle hashes."""
     ones = np.zeros(64 * LANES, np.int64)
     for at in range(0, len(h), _SLICE):
         x = h[at : at + _SLICE, None] * _LANE
@@ -172,6 +193,11 @@ def wide_fingerprint(text: bytes, shingle: int = WIDE_SHINGLE) -> bytes:
     return np.packbits(2 * ones > len(h), bitorder="little").tobytes()
 
 
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def wide_plan(rows: int, recall: float = WIDE_RECALL) -> tuple[int, int]:
     """(bits a table's key covers, tables): keys sharpen with the logarithm of the rows, tables keep the recall."""
     bits = max(8, min(40, int(np.ceil(np.log2(max(rows, 2)))) - 4))
@@ -179,12 +205,25 @@ def wide_plan(rows: int, recall: float = WIDE_RECALL) -> tuple[int, int]:
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
 
 
+def _candidates(fp: np.ndarray, size: np.ndarray, left: slice, right: slice, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs left x right whose fingerprints are near and whose sizes allow the similarity."""
+    near = np.minimum(size[left, None], size[None, right]) >= SIMILARITY * np.maximum(size[left, None], size[None, right])
+    a, b = np.nonzero(near)
+    a, b = a + (left.start or 0), b + (right.start or 0)
+    a, b = a[a != b], b[a != b]
+    ok = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 18):
+        s = slice(at, at + (1 << 18))
+        ok[s] = np.bitwise_count(fp[a[s]] ^ fp[b[s]]).sum(axis=1, dtype=np.int16) <= limit
+    return a[ok], b[ok]
+
+
 def link_wide(classes: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
-    """classes(id long, fp binary), fingerprints distinct -> edges(u, v), a spanning forest of each unit's links.
+    """classes(id long, size long, fp binary) -> candidates (u, v), a spanning forest of each unit's near fingerprints.
 
     The reference fingerprints of a table are a base and the patterns over its own choice of bits; equal distances to
     them, less the base's, make the key. Within a bucket, pairs are discarded by the difference of their distances to
-    pivots over the whole width, and survivors are verified bit by bit.
+    pivots over the whole width, then by their bits and set sizes.
     """
     bits, tables = wide_plan(classes.count())
     rng = np.random.default_rng(SEED)
@@ -192,28 +231,28 @@ def link_wide(classes: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
     chosen = np.stack([rng.choice(width, bits, replace=False) for _ in range(tables)])
     patterns = rng.integers(0, 2, (tables, 2 * bits, bits), dtype=np.int8)  # each table's pivots, on its own bits
     pivots_full = np.packbits(rng.integers(0, 2, (16, width), dtype=np.uint8), axis=1, bitorder="little").view(np.uint64)
-    keyed_schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("fp", pa.binary())])
+    keyed_schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("fp", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for at in range(0, big.num_rows, 4096):
                 b = big.slice(at, 4096)
-                fp = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, width // 8)
+                fp = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(b.num_rows, width // 8)
                 ones = np.unpackbits(fp, axis=1, bitorder="little").astype(np.float32)
                 for t in range(tables):
                     own = ones[:, chosen[t]]
                     relative = patterns[t].sum(axis=1) - 2 * (own @ patterns[t].T.astype(np.float32)).astype(np.int8)  # distance to each pivot less that to the base
                     raw = np.ascontiguousarray(relative.astype(np.int8))
                     key = np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), t) for r in raw), np.uint64, len(raw))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column(0), b.column(1)], schema=keyed_schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *b.columns], schema=keyed_schema)
 
     def compare(c: dict, same: bool):
-        ids = c["id"].to_numpy()
+        ids, size = c["id"].to_numpy(), c["size"].to_numpy()
         fp = np.frombuffer(b"".join(c["fp"].to_pylist()), np.uint64).reshape(len(ids), LANES)
         d = np.stack([np.bitwise_count(fp ^ p).sum(axis=1, dtype=np.int16) for p in pivots_full], axis=1)
         m = len(ids) if same else int(np.count_nonzero(c["first"].to_numpy(zero_copy_only=False)))
         right = 0 if same else m
-        near = np.ones((m, len(ids) - right), bool)
+        near = np.minimum(size[:m, None], size[None, right:]) >= SIMILARITY * np.maximum(size[:m, None], size[None, right:])
         for j in range(d.shape[1]):
             near &= np.abs(d[:m, j][:, None] - d[right:, j][None, :]) <= limit
         a, b = np.nonzero(np.triu(near, 1) if same else near)
@@ -227,33 +266,107 @@ def link_wide(classes: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
         v, root = forest(len(ids), a[ok], b[ok])
         return {"u": ids[v], "v": ids[root]}
 
-    keyed = classes.select("id", "fp").mapInArrow(run, "key long, id long, fp binary")
+    keyed = classes.select("id", "size", "fp").mapInArrow(run, "key long, id long, size long, fp binary")
     return compare_units(keyed, 512, compare, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
 
+def verified_links(members: DataFrame, similarity: float = SIMILARITY, limit: int = WIDE_LIMIT) -> DataFrame:
+    """members(id, component, size, fp, shingles binary) -> edges (u, v) of members whose shingle sets share similarity or more.
+
+    Only pairs of one component are looked at; the edges connect what all such pairs connect. Each member is compared
+    with its component's first one. Members that are not similar to it are then compared with all others of the
+    component, in blocks of bounded size, as pairs of blocks. So a large group of copies costs one comparison a member.
+    """
+    members = saved(members, "shingle-sets")
+    first = saved(members.groupBy("component").agg(F.min("id").alias("low")).select("component", "low"), "first-members")
+    lead = members.select("component", F.col("id").alias("low"), F.col("shingles").alias("own")).join(first, ["component", "low"])
+    lead = saved(lead.withColumn("key", F.bitwise_not("component")).drop("component"), "first-sets")
+
+    def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = zip(b.column("shingles"), b.column("own"))
+            near = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) >= similarity for x, y in sets]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("low"), b.column("component"), pa.array(near)], names=["id", "low", "component", "near"])
+
+    compared = members.withColumn("key", F.bitwise_not("component")).join(lead, "key").where("id <> low").select("id", "low", "component", "shingles", "own")
+    compared = saved(compared.mapInArrow(star, "id long, low long, component long, near boolean"), "compared-with-first")
+    direct = compared.where("near").select(F.col("id").alias("u"), F.col("low").alias("v"))
+    rest = compared.where("not near").select("id", F.lit(True).alias("rest"))
+    told = members.join(rest, "id", "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
+    told = saved(told, "members-told")
+    blocks = lambda of: F.greatest(F.ceil(F.sum(of.cast("int")) / VERIFY_ROWS), F.ceil(F.sum(F.when(of, F.col("size"))) * 8 / VERIFY_BYTES)).cast("long")
+    counts = told.groupBy("component").agg(blocks(F.col("rest")).alias("n_rest"), blocks(~F.col("rest")).alias("n_other")).where("n_rest > 0")
+    counts = saved(counts.select(F.bitwise_not("component").alias("key"), "n_rest", "n_other"), "component-blocks")
+    dealt = told.withColumn("key", F.bitwise_not("component")).join(checked_broadcast(counts), "key")
+    own = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), F.col("n_rest"))).otherwise(F.col("n_rest") + F.pmod(F.xxhash64("id"), F.col("n_other")))
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("rest"), F.col("n_rest") + F.col("n_other") - 1).otherwise(F.col("n_rest") - 1))))
+    dealt = dealt.select("key", "id", "size", "fp", "shingles", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
+
+    def compare(c: dict, same: bool):
+        ids, size = c["id"].to_numpy(), c["size"].to_numpy()
+        fp = np.frombuffer(b"".join(c["fp"].to_pylist()), np.uint64).reshape(len(ids), LANES)
+        m = int(np.count_nonzero(c["first"].to_numpy(zero_copy_only=False)))
+        a, b = _candidates(fp, size, slice(0, m), slice(0, m) if same else slice(m, len(ids)), limit)
+        root, u, v = list(range(len(ids))), [], []
+
+        def top(x: int) -> int:
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        sets = c["shingles"]
+        for x, y in zip(a.tolist(), b.tolist()):
+            p, q = top(x), top(y)
+            if p != q and jaccard(np.frombuffer(sets[x].as_buffer(), np.uint64), np.frombuffer(sets[y].as_buffer(), np.uint64)) >= similarity:
+                root[max(p, q)] = min(p, q)
+                u.append(ids[x])
+                v.append(ids[y])
+        return {"u": np.array(u, np.int64), "v": np.array(v, np.int64)} if u else None
+
+    more = compare_dealt(dealt, compare, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+    return direct.union(more)
+
+
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each near-duplicate group, that of the smallest id (then text hash); all columns stay.
 
-    Groups are the components of the links between texts whose five-word shingle sets are estimated to share 0.8 or
-    more, by wide fingerprints. Texts without words are of no group and stay, and so do rows with a null id. Where
-    the row to keep is repeated in id and text, one stays, chosen by a hash of its columns. An empty table gives an empty table.
+    Groups are the components of the links between texts whose five-word shingle sets share 0.8 or more. Candidates come
+    from wide fingerprints; every link is verified on the sets of 64-bit shingle hashes. Texts without words are of no
+    group and stay, and so do rows with a null id. Rows equal in id and text are in one group, of which one stays, chosen
+    by a hash of its columns. An empty table gives an empty table.
     """
-    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("fp", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("set_key", pa.binary()), ("size", pa.int64()), ("fp", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [wide_fingerprint(x.as_buffer().to_pybytes()) if x.is_valid else b"" for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], schema=schema)
-
-    d = own_columns(docs, id_col, text_col).toDF("id", "text").where("id is not null")
-    fps = saved(d.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(run, "id long, th long, fp binary").where("length(fp) > 0"), "wide-fingerprints")
-    # a class goes by its fingerprint, as one id may stand on texts of several groups
-    classes = saved(fps.groupBy("fp").agg(F.min(F.struct("id", "th")).alias("first")).select(F.xxhash64("fp").alias("id"), "fp", "first"), "wide-classes")
-    member = connected_components(link_wide(classes))
-    group = saved(classes.join(member, "id", "left").select("fp", "first", F.coalesce("component_id", "id").alias("group")), "wide-groups")
-    told = saved(join_grouped(group, group.groupBy("group").agg(F.min("first").alias("keep")), "group").select("fp", "keep"), "wide-kept")
+            sets = [shingle_set(x.as_buffer().to_pybytes()) if x.is_valid else np.zeros(0, np.uint64) for x in b.column(2)]
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            fps = [wide_fingerprint(x) if len(x) else b"" for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps, pa.binary())], schema=schema)
+
+    d = own_columns(docs, id_col, text_col).toDF("id", "text").where("id is not null").withColumn("th", F.xxhash64("text"))
+    fps = saved(d.select("id", "th", "text").mapInArrow(run, "id long, th long, set_key binary, size long, fp binary").where("size > 0"), "wide-fingerprints")
+    # a class is of texts with one shingle set, as one id may stand on texts of several groups
+    classes = fps.groupBy("set_key", "size", "fp").agg(F.min(F.struct("id", "th")).alias("first"))
+    classes = saved(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "size", "fp", "first"), "wide-classes")
+    component = saved(connected_components(link_wide(classes)).withColumnRenamed("component_id", "component"), "wide-candidates")
+    reps = classes.join(component, "id").select("id", "component", "size", "fp", F.col("first.id").alias("doc"), F.col("first.th").alias("th"))
+    reps = saved(reps, "wide-members")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([shingle_set(x.as_buffer().to_pybytes()).tobytes() for x in b.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "component", "size", "fp")), made], names=["id", "component", "size", "fp", "shingles"])
+
+    texts = d.select(F.col("id").alias("doc"), "th", "text").join(checked_broadcast(reps), ["doc", "th"]).dropDuplicates(["id"])
+    members = texts.select("id", "component", "size", "fp", "text").mapInArrow(sets, "id long, component long, size long, fp binary, shingles binary")
+    links = saved(verified_links(members), "wide-links")
+    member = connected_components(links)
+    group = saved(classes.join(member, "id", "left").select("set_key", "first", F.coalesce("component_id", "id").alias("group")), "wide-groups")
+    told = saved(join_grouped(group, group.groupBy("group").agg(F.min("first").alias("keep")), "group").select("set_key", "keep"), "wide-kept")
     gone = (F.col("id") != F.col("keep.id")) | (F.col("th") != F.col("keep.th"))
-    marks = fps.join(told, "fp").groupBy(F.col("id").alias("__gone"), F.col("th").alias("__th")).agg(F.max(gone).alias("gone"), F.count("*").alias("n"))
+    marks = fps.join(told, "set_key").groupBy(F.col("id").alias("__gone"), F.col("th").alias("__th")).agg(F.max(gone).alias("gone"), F.count("*").alias("n"))
     marks = saved(marks.where("gone or n > 1"), "wide-marks")
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     same = (ident == F.col("__gone")) & (F.xxhash64(text) == F.col("__th"))

@@ -383,3 +383,49 @@ def test_maximal_repeats_against_brute_force(spark):
     cut = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in o5.dedup_substrings(d).collect()}
     assert cut == {i: x[:2] for i, x in o5.brute_force(rows).items()}
     assert o5.repeated_passages(d.limit(0)).count() == 0
+
+
+def planted_pairs(rng, n, lo, hi):
+    """(texts, pairs of places): pairs of texts whose shingle sets share between lo and hi."""
+    out, pairs = [], []
+    while len(pairs) < n:
+        words = [f"w{x}" for x in rng.integers(0, 10**6, int(rng.integers(60, 400)))]
+        other = list(words)
+        for k in rng.choice(len(words), max(1, int(rng.uniform(0, 0.08) * len(words))), replace=False):
+            other[k] = f"v{rng.integers(10**6)}"
+        a, b = " ".join(words), " ".join(other)
+        if lo <= o4.jaccard(o4.shingle_set(a.encode()), o4.shingle_set(b.encode())) < hi:
+            pairs.append((len(out), len(out) + 1))
+            out += [a, b]
+    return out, pairs
+
+
+def test_groups_are_verified_and_found(spark):
+    rng = np.random.default_rng(12)
+    near, near_pairs = planted_pairs(rng, 150, 0.8, 0.95)
+    far, _ = planted_pairs(rng, 100, 0.55, 0.8)
+    rows = list(enumerate(near + far))
+    kept = {r["doc_id"] for r in o4.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(len(near), len(rows))) <= kept and {a for a, _ in near_pairs} <= kept
+    assert sum(b not in kept for _, b in near_pairs) >= 0.9 * len(near_pairs)
+
+
+def test_verified_links_connect_as_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(o4, "VERIFY_ROWS", 7)
+    rng = np.random.default_rng(2)
+    chain = [f"w{x}" for x in range(120)]
+    sets = [o4.shingle_set(" ".join(chain[3 * (i % 20) : 3 * (i % 20) + 60 + i // 20]).encode()) for i in range(60)]
+    sets += [o4.shingle_set(" ".join(f"u{x}" for x in rng.integers(0, 9, 40)).encode()) for _ in range(10)]
+    rows = [(i, 0 if i < 55 else 1, len(x), bytearray(o4.wide_fingerprint(x)), bytearray(x.tobytes())) for i, x in enumerate(sets)]
+    d = spark.createDataFrame(rows, "id long, component long, size long, fp binary, shingles binary")
+    near = np.array([[o4.jaccard(a, b) >= 0.8 and (i < 55) == (j < 55) for j, b in enumerate(sets)] for i, a in enumerate(sets)])
+    label = np.arange(len(sets))
+    for _ in range(len(sets)):
+        label = np.array([label[x].min() for x in near])
+    from lexmill.llm.components import connected_components
+
+    links = o4.verified_links(d, limit=256)
+    got = {r["id"]: r["component_id"] for r in connected_components(links).collect()}
+    assert [got.get(i, i) for i in range(len(sets))] == label.tolist()
+    assert all(near[r["u"]][r["v"]] for r in links.collect()) and len(set(label)) > 3
+    assert o4.verified_links(d.limit(0)).count() == 0
