@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +37,15 @@ _ATTRS = re.compile(r"(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\
 _CAMEL = re.compile(r"([a-z])([A-Z])")
 _PUNCT = re.compile(r"[.,;:!?…。，]")
 
-RAW = frozenset("script style textarea title iframe noscript noembed xmp".split())
-SKIP = frozenset("head svg math canvas object select button template video audio".split())
+#: Contents that are never text of the page; contents that are text up to the end tag, whatever is in them.
+DROPPED = frozenset("script style".split())
+RAW = frozenset("textarea title iframe noembed xmp".split())
+#: Elements that a head may hold; any other one ends it. Elements that hold no blocks; a block ends them.
+IN_HEAD = frozenset("title meta link base script style noscript template".split())
+INLINE = frozenset("button select option optgroup datalist".split())
+MEDIA = frozenset("svg canvas object video audio template noscript".split())
 BLOCK = frozenset(
-    "html body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article main aside nav header "
+    "html head body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article main aside nav header "
     "footer form fieldset legend blockquote pre figure figcaption details summary address hr menu dialog center ins hgroup search".split()
 )
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -49,6 +55,7 @@ TAG_GROUPS = (
     frozenset({"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}), frozenset({"ul", "ol", "li", "dl", "dt", "dd"}),
     frozenset({"table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th"}), frozenset({"nav", "menu"}), frozenset({"aside"}), frozenset({"header"}),
     frozenset({"footer"}), frozenset({"form", "fieldset", "legend", "search"}), frozenset({"figure", "figcaption"}), frozenset({"#text"}), frozenset({"dialog", "ins", "address", "details", "summary"}),
+    frozenset({"head", "title"}), INLINE | {"textarea"}, MEDIA | {"iframe", "noembed"},
 )
 #: Attribute tokens by what they tell.
 TOKEN_GROUPS = (
@@ -65,48 +72,77 @@ TOKEN_GROUPS = (
     frozenset("hidden noprint sr screen invisible print".split()),
 )
 _WHICH = {w: i for i, g in enumerate(TOKEN_GROUPS) for w in g}
+#: Bins that attribute tokens are hashed into, besides.
+TOKEN_BINS = 40
 _MARK = "\ue000"
 
 
 @lru_cache(maxsize=20_000)
-def _attr_groups(attrs: str) -> int:
-    """Bits of the token groups that a tag's attributes touch."""
-    bits = 0
+def _attr_tokens(attrs: str) -> tuple[int, int]:
+    """Bits of the token groups that a tag's attributes touch, and of the bins of all their tokens."""
+    bits = bins = 0
     for m in _ATTRS.finditer(attrs):
         value = _CAMEL.sub(r"\1 \2", m.group(1) or m.group(2) or m.group(3) or "").lower()
         for w in re.split(r"[^a-z]+", value):
+            if w:
+                bins |= 1 << xxhash.xxh32_intdigest(w) % TOKEN_BINS
             k = _WHICH.get(w)
             if k is not None:
                 bits |= 1 << k
     if re.search(r"(?i)\shidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", attrs):
         bits |= 1 << (len(TOKEN_GROUPS) - 1)
-    return bits
+    return bits, bins
 
 
 _TAG_GROUP = {t: i for i, g in enumerate(TAG_GROUPS) for t in g}
 
 
 class Page:
-    """Block nodes of a page in page order: parent, tag, attribute groups, own text, link characters."""
+    """Block nodes of a page in page order: parent, tag, attribute groups and bins, own text, link characters.
 
-    __slots__ = ("bits", "links", "parent", "tag", "text")
+    Only the contents of scripts and styles are left out. An element that is never closed ends with its parent; a head
+    ends at the first tag or text that cannot stand in one.
+    """
+
+    __slots__ = ("bins", "bits", "links", "parent", "tag", "text")
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.bits, self.text, self.links = [-1], ["html"], [0], [""], [0]
+        self.parent, self.tag, self.bits, self.bins, self.text, self.links = [-1], ["html"], [0], [0], [""], [0]
         stack, pieces, state = [0], [], [0, 0]  # state: link depth, link characters of the run
-        skip, skip_depth, at, n = "", 0, 0, len(source)
+        opened: dict[str, int] = {}  # how often a tag is on the stack
+        at, n = 0, len(source)
 
         def flush() -> None:
             raw = "".join(pieces)
             if raw and not raw.isspace():
-                self._add(stack[-1], "#text", 0)
+                self._add(stack[-1], "#text", (0, 0))
                 self.text[-1] = " ".join(html.unescape(raw).split())
                 self.links[-1] = state[1]
             pieces.clear()
             state[1] = 0
 
+        def cut(k: int) -> None:
+            for i in stack[k:]:
+                opened[self.tag[i]] -= 1
+            del stack[k:]
+
+        def leave(tag: str) -> None:
+            if opened.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if self.tag[stack[k]] == tag:
+                        cut(k)
+                        return
+
+        def enter(tag: str, attrs: str) -> None:
+            self._add(stack[-1], tag, _attr_tokens(attrs))
+            stack.append(len(self.tag) - 1)
+            opened[tag] = opened.get(tag, 0) + 1
+
         def text(t: str) -> None:
-            if t and not skip:
+            if t:
+                if opened.get("head") and self.tag[stack[-1]] == "head" and not t.isspace():
+                    flush()
+                    leave("head")
                 pieces.append(t)
                 if state[0]:
                     state[1] += len(t.strip())
@@ -122,18 +158,22 @@ class Page:
             if not tag:
                 continue
             closing, attrs = (m.group(1) or m.group(4)) == "/", m.group(3) or m.group(6) or ""
-            if skip and tag != "body":
-                if tag == skip:
-                    skip_depth += -1 if closing else (0 if attrs.endswith("/") else 1)
-                    if skip_depth <= 0:
-                        skip = ""
-                continue
-            if tag in RAW and not closing:
+            if opened.get("head") and not closing and tag not in IN_HEAD:
+                flush()
+                leave("head")
+            if (tag in DROPPED or tag in RAW) and not closing:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                at = end.end() if end else n
-            elif tag in SKIP:
-                if not closing and not attrs.endswith("/"):
-                    skip, skip_depth = tag, 1
+                if tag in DROPPED:
+                    at = end.end() if end else n
+                else:
+                    flush()
+                    enter(tag, attrs)
+                    if end:  # without an end tag, what follows is read as usual, below no node of this kind
+                        raw = source[at : end.start()]
+                        pieces.append(raw if tag == "xmp" or "<" not in raw else _TOKEN.sub(" ", raw))
+                        at = end.end()
+                        flush()
+                    leave(tag)
             elif tag in ("br", "hr", "wbr"):
                 if tag != "wbr":
                     text(" ")
@@ -141,46 +181,53 @@ class Page:
                     flush()
             elif tag == "a":
                 state[0] = 0 if closing else 1
+            elif tag in INLINE or tag in MEDIA:
+                flush()
+                if closing:
+                    leave(tag)
+                elif not attrs.endswith("/"):
+                    if tag in INLINE and self.tag[stack[-1]] == tag:
+                        leave(tag)
+                    enter(tag, attrs)
             elif tag in BLOCK:
-                skip = ""
                 flush()
                 if tag in ("html", "body"):
                     if not closing:
-                        self.bits[0] |= _attr_groups(attrs)
+                        bits, bins = _attr_tokens(attrs)
+                        self.bits[0] |= bits
+                        self.bins[0] |= bins
                     continue
                 if closing:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[k]] == tag:
-                            del stack[k:]
-                            break
+                    leave(tag)
                     continue
                 state[0] = 0
-                if len(stack) > 1 and self.tag[stack[-1]] == "p":
-                    stack.pop()
+                while self.tag[stack[-1]] in INLINE:
+                    cut(len(stack) - 1)
+                if self.tag[stack[-1]] == "p":
+                    cut(len(stack) - 1)
                 if tag in CLOSES:
                     same, until = CLOSES[tag]
-                    for k in range(len(stack) - 1, 0, -1):
-                        t = self.tag[stack[k]]
-                        if t in until:
-                            break
-                        if t in same:
-                            del stack[k:]
-                            break
-                if len(stack) > 200:  # deeper nesting is read as siblings
-                    stack.pop()
-                self._add(stack[-1], tag, _attr_groups(attrs))
-                stack.append(len(self.tag) - 1)
+                    if any(opened.get(t) for t in same):
+                        for k in range(len(stack) - 1, 0, -1):
+                            t = self.tag[stack[k]]
+                            if t in until:
+                                break
+                            if t in same:
+                                cut(k)
+                                break
+                enter(tag, attrs)
         flush()
 
-    def _add(self, parent: int, tag: str, bits: int) -> None:
+    def _add(self, parent: int, tag: str, tokens: tuple[int, int]) -> None:
         self.parent.append(parent)
         self.tag.append(tag)
-        self.bits.append(bits)
+        self.bits.append(tokens[0])
+        self.bins.append(tokens[1])
         self.text.append("")
         self.links.append(0)
 
 
-N_FEATURES = 18 + len(TAG_GROUPS) + 2 * len(TOKEN_GROUPS) + len(TAG_GROUPS)
+N_FEATURES = 18 + len(TAG_GROUPS) + 2 * len(TOKEN_GROUPS) + len(TAG_GROUPS) + TOKEN_BINS
 
 
 def features(page: Page) -> np.ndarray:
@@ -237,6 +284,8 @@ def features(page: Page) -> np.ndarray:
     out[:, at : at + len(TOKEN_GROUPS)] = (up[:, None] >> np.arange(len(TOKEN_GROUPS))) & 1
     at += len(TOKEN_GROUPS)
     out[:, at : at + len(TAG_GROUPS)] = (ut[:, None] >> np.arange(len(TAG_GROUPS))) & 1
+    at += len(TAG_GROUPS)
+    out[:, at:] = (np.array(page.bins, np.int64)[:, None] >> np.arange(TOKEN_BINS)) & 1
     return out
 
 
@@ -345,6 +394,8 @@ def synthetic_page(rng: np.random.Generator) -> str:
             return pick(f"<aside{pick('', cls('sidebar', 'related', 'widget'))}>{inner}</aside>", f"<div{cls('sidebar', 'side', 'widget', 'rail', 'secondary')}>{inner}</div>")
         if kind == "notice":
             return f"<{(t := pick('div', 'div', 'section', 'p', 'dialog'))}{cls('cookie-notice', 'cookie', 'consent', 'notice', 'alert', 'paywall', 'gdpr', 'popup', 'warning', 'announcement')}>{pick('', '<p>') if t != 'p' else ''}{pick(words(4, 12), prose())}{'<button>' + words(1, 2) + '</button>' if chance(0.5) else ''}</{t}>"
+        if kind == "form" and chance(0.3):
+            return pick(f"<svg><title>{words(1, 3)}</title><text>{words(1, 3)}</text></svg>", f"<select>{''.join(f'<option>{words(1, 2)}' for _ in range(6))}</select>", f"<iframe src=x>{words(2, 8)}</iframe>", f"<video controls>{words(3, 8)}</video>", f"<form><textarea>{words(1, 9)}</textarea><button>{words(1, 2)}</button></form>", f"<div><button>{words(1, 3)}</button></div>", f"<template>{prose()}</template>")
         if kind == "form":
             return f"<form{pick('', cls('newsletter', 'search', 'login', 'subscribe', 'contact-form'))}>{'<p>' + prose() + '</p>' if chance(0.5) else ''}<label>{words(1, 4)}</label><input name=q><button>{words(1, 2)}</button></form>"
         if kind == "social":
@@ -361,7 +412,12 @@ def synthetic_page(rng: np.random.Generator) -> str:
         parts = [f"<h1>{_MARK}{words(2, 9)}</h1>"] if chance(0.75) else []
         for _ in range(int(rng.integers(1, pick(3, 8, 16)))):
             r = rng.random()
-            if r < 0.72:
+            if r < 0.04:
+                odd_piece = pick(f"<button>{words(1, 3)}</button>", f"<math><mi>{words(1, 2)}</mi></math>", f"<noscript>{words(2, 6)}</noscript>", f"<object>{words(2, 6)}</object>")
+                parts.append(f"<p>{_MARK}{prose()} {odd_piece.replace('>', '>' + _MARK, 1)} {_MARK}{prose()}</p>")
+            elif r < 0.06:
+                parts.append(f"<xmp>{_MARK}{prose()}</xmp>")
+            elif r < 0.72:
                 parts.append(f"<p>{_MARK}{pick('', '<b>', '<em>')}{pick(words(1, 5), prose(), prose(), prose())}{pick('', '', '<br>', link() + ' ' + words(1, 5))}{pick('</p>', '</p>', '')}")
             elif r < 0.79:
                 parts.append(f"<h2>{_MARK}{words(1, 6)}</h2>")

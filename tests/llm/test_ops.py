@@ -429,3 +429,65 @@ def test_verified_links_connect_as_all_pairs_do(spark, monkeypatch):
     assert [got.get(i, i) for i in range(len(sets))] == label.tolist()
     assert all(near[r["u"]][r["v"]] for r in links.collect()) and len(set(label)) > 3
     assert o4.verified_links(d.limit(0)).count() == 0
+
+
+def test_html_loses_nothing_by_lists():
+    trees = o7.trained()
+    para = "The storm came in over the hills on Tuesday and left by the evening, said the keeper of the light."
+    more = "Nobody was hurt, but the road to the harbour was closed for two days while the crews cleared it."
+    pages = [
+        (f"<html><head><title>T</title><article><h1>Storm</h1><p>{para}</p><p>{more}</p></article>", f"Storm {para} {more}"),
+        (f"<title>T</title><article><h1>Storm</h1><p>{para}<p>{more}", f"Storm {para} {more}"),
+        (f"<html><body><article><p>{para} <button>here <p>{more}</p></article></body></html>", None),
+        (f"<html><body><article><p>{para} so <math><mi>x</mi>+<mn>1</mn></math> it was.</p><p>{more}</p></article>", f"{para} so x+1 it was. {more}"),
+        (f"<html><body><article><p>{para}</p><select><option>a<option>b<p>{more}</p></article>", None),
+        (f"<html><head><meta charset=utf-8><article><p>{para}</p><p>{more}</p></article>", f"{para} {more}"),
+        ("<article>" + "<div>" * 3000 + f"<p>{para}</p>" + "</div>" * 3000 + f"<p>{more}</p></article>", None),
+    ]
+    for page, want in pages:
+        got = o7.extract([page], trees)[0]
+        assert got == want if want else para in got and more in got, page
+    for page in ("<xmp>a <b> c</xmp>", "a<textarea>b<i>c", "<svg><text>t</text></svg>", "<object>o", "<head>x"):
+        shown = "".join("".join(o7.Page(page).text).split())
+        assert shown == "".join(re.sub(r"<(?!b>)[^>]*>", "", page).split())
+    assert o7.extract(["<p>x</p><script>no</script><style>no"], trees)[0] in ("", "x")
+
+
+def test_html_of_other_styles():
+    """Pages written by hand, in styles that the training layouts do not have."""
+    trees = o7.trained()
+    one = "In the spring of that year the council voted to rebuild the old bridge, which had stood unused since the flood."
+    two = "Engineers surveyed both banks, and their report, published in May, recommended a single span of steel and stone."
+    three = "Work began in June and went on, with few pauses, until the first frost; the bridge opened on the ninth of December."
+    body = f"<p>{one}</p>\n<p>{two}</p>\n<p>{three}</p>"
+    links = "".join(f'<li><a href="/{x}">{x.title()}</a></li>' for x in ("home", "news", "sport", "weather", "contact"))
+    pages = [
+        f'<body><div id="wrapper"><div id="top-nav"><ul>{links}</ul></div><div id="page-content">{body}</div><div id="foot">Copyright 2019 The Gazette. All rights reserved.</div></div>',
+        f'<body><nav class="navbar navbar-dark"><ul>{links}</ul></nav><main role="main"><div class="container"><div class="col-md-8">{body}</div><div class="col-md-4 sidebar"><h4>Related</h4><ul>{links}</ul></div></div></main><footer class="mt-auto">&copy; Gazette</footer>',
+        f'<body><header role="banner"><a href="/">The Gazette</a></header><section class="story-body">{body}</section><section class="comments-area"><h2>Comments</h2><div class="comment">First! Great read.</div></section>',
+        f'<body bgcolor=white><table width=100%><tr><td class=leftnav><ul>{links}</ul></td><td class=maincol>{body}</td></tr></table>',
+    ]
+    exact = 0
+    for page in pages:
+        got = o7.extract([page], trees)[0]
+        assert one in got and two in got and three in got and "Sport" not in got
+        exact += got == f"{one} {two} {three}"
+    assert exact >= 3
+
+
+def test_decoding_is_the_optimum():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        n = int(rng.integers(1, 9))
+        parent = [-1] + [int(rng.integers(0, i)) for i in range(1, n)]
+        z = rng.standard_normal(n) * 3
+        worth = lambda keep: sum(-np.logaddexp(0, -x if k else x) for x, k in zip(z, keep))  # noqa: B023, E731
+        allowed = [k for k in itertools.product((False, True), repeat=n) if all(k[parent[i]] or not k[i] for i in range(1, n))]
+        assert worth(o7.decode(parent, z)) == pytest.approx(max(map(worth, allowed)))
+
+
+def test_html_tables(spark):
+    d = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None)], "page_id long, url string, html string")
+    assert [r["n_chars"] == len(r["text"]) for r in o7.main_text(d).collect()] == [True] * 3 and o7.main_text(d.limit(0)).count() == 0
