@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,26 +16,30 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a new one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not own.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexmill-"))
-        own = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return own.get()
+    if own.isDefined():
+        return own.get()
+    if spark.sparkContext.master.startswith("local"):  # driver and executors are one process
+        path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.lexmill-checkpoints"
+        spark.sparkContext.setCheckpointDir(path)
+        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table into the shared folder and read it back: cuts lineage, survives lost executors.
+def app_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, under the application's own folder, which may be deleted once it has ended."""
+    return f"{shared_dir(spark)}/lexmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
-    Tables stand under one folder per application, which may be deleted once the application has ended.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a Parquet table into the shared folder and read it back: cuts lineage, survives lost executors."""
+    path = app_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def drop_saved(df: DataFrame) -> None:

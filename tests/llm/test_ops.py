@@ -491,3 +491,50 @@ def test_decoding_is_the_optimum():
 def test_html_tables(spark):
     d = spark.createDataFrame([(1, "u", "<p>a</p>"), (1, "u", "<p>a</p>"), (None, None, None)], "page_id long, url string, html string")
     assert [r["n_chars"] == len(r["text"]) for r in o7.main_text(d).collect()] == [True] * 3 and o7.main_text(d.limit(0)).count() == 0
+
+
+def test_runs_are_joined_where_they_lie(spark):
+    runs = o2.LineRuns(spark, fan=4)
+    keys = "h1 long, h2 long, n_docs long, top_doc long"
+    for b in range(3):
+        runs.add(spark.createDataFrame([(k, k, 1, b) for k in range(10 * b, 10 * b + 20)], keys))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = runs.told(spark.createDataFrame([(k, k, 1, 9) for k in range(60)], keys))
+        assert sorted((r["h1"], r["held"]) for r in fresh.collect()) == [(k, k < 40) for k in range(60)]
+        plan = fresh._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = [(len(x) - len(x.lstrip(" :+-*")), x) for x in plan.splitlines()]
+    scans = [i for i, (_, x) in enumerate(lines) if "FileScan" in x and "line_run" in x]
+    for i in scans:  # what lies between a run's scan and the join above it
+        depth = lines[i][0]
+        for d, x in reversed(lines[:i]):
+            if d < depth:
+                depth = d
+                assert "Exchange" not in x
+                if "Join" in x:
+                    break
+    assert "SortMergeJoin" in plan and len(scans) >= 3
+    homes = [r.where("not held").count() for r in runs.runs()]
+    assert homes == [20, 10, 10]
+
+
+def test_runs_outlive_a_call(spark):
+    rows = [(i, f"{LINE} {i % 3}\nown line of document {i}") for i in range(12)]
+    whole = {r["doc_id"]: r["n_dropped"] for r in o2.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    runs = o2.LineRuns(spark, buckets=3)
+    first = o2.dedup_lines(spark.createDataFrame(rows[:6], "doc_id long, text string"), runs=runs).collect()
+    assert sum(r["n_dropped"] for r in first) == 0
+    runs = o2.LineRuns.restore(spark, runs.state())
+    later = {r["doc_id"]: r["n_dropped"] for r in o2.dedup_lines(spark.createDataFrame(rows[6:], "doc_id long, text string"), runs=runs).collect()}
+    assert later == {i: whole[i] for i in range(6, 12)}
+    assert {(r["top_doc"]) for r in runs.repeated(4).collect()} == {9, 10, 11}
+    runs.drop()
+
+
+def test_lines_of_many_rows_with_a_null_id(spark):
+    rows = [(None, f"{LINE} {i % 40}\nx{i}") for i in range(400)] + [(1, f"{LINE} {i}") for i in range(40)] + [(2, f"{LINE} 3")]
+    got = o2.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_dropped"] for r in got if r["doc_id"] is None) == 10 and sum(r["n_dropped"] for r in got if r["doc_id"] == 1) == 1
