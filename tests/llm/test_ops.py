@@ -130,6 +130,7 @@ def test_mixing(spark):
         assert v[0]["source_size"] == sum(r["size"] for r in v) and v[0]["target"] <= 3 * v[0]["source_size"]
     assert sorted(map(str, rows)) == sorted(map(str, o3.mix(d.repartition(7)).collect()))
     order = [r["__position"] for r in o3.training_order(m, ["doc_id"]).collect()]
+    assert max(order) < 10**9 + 1
     assert order == sorted(order) and len(order) == sum(r["copies"] for r in rows)
     assert o3.mix(d.limit(0)).count() == 0
 
@@ -328,13 +329,25 @@ def test_mixing_query_returns_the_curriculum(spark, tmp_path):
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
     d.write.parquet(f"{tmp_path}/documents.parquet")
     got = o3.query(spark, str(tmp_path))
-    assert got.columns[:6] == ["doc_id", "size", "source_size", "target", "taken", "positions"]
-    got = got.collect()
-    first = lambda r: str([r[c] for c in ("doc_id", "size", "taken", "positions")])
-    assert sorted(map(first, got)) == sorted(map(first, o3.mix(d).collect()))
-    order = sorted((k, p, -1 if r["doc_id"] is None else r["doc_id"]) for r in got for k, p in zip(r["ranks"], r["positions"]))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "first_position", "first_rank"]
+    mixed = o3.mix(d)
+    ranked = o3.with_ranks(mixed).collect()
+    first = lambda r, p, k: str([r["doc_id"], r["size"], r["taken"], p, k])
+    want = [first(r, int(min(r["positions"]) * 1e9) / 1e9 if r["positions"] else None, min(r["ranks"]) if r["ranks"] else None) for r in ranked]
+    assert sorted(want) == sorted(first(r, r["first_position"], r["first_rank"]) for r in got.collect())
+    order = sorted((k, int(p * 1e9), r["order_key"]) for r in ranked for k, p in zip(r["ranks"], r["positions"]))
     assert [k for k, _, _ in order] == list(range(len(order))) and [x[1:] for x in order] == sorted(x[1:] for x in order)
-    assert all(len(r["ranks"]) == len(r["positions"]) for r in got) and any(not r["ranks"] for r in got)
+    assert all(len(r["ranks"]) == len(r["positions"]) for r in ranked) and any(not r["ranks"] for r in ranked)
+
+
+def test_mixing_spreads_ties_and_null_ids(spark):
+    rows = [(None, f"w{i}", "s") for i in range(3000)] + [(5, f"v{i}", "s") for i in range(1000)] + [(i, "", "t") for i in range(500)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    m = o3.mix(d, schedules=(((0.0, 1.0), (1.0, 1.0)),))
+    assert m.where("doc_id is null").select(F.substring("order_key", 1, o3.BUCKET_DIGITS)).distinct().count() > 1000
+    tied = m.withColumn("positions", F.array(F.lit(0.5)))
+    sizes = [r["n"] for r in o3.training_order(tied, ["doc_id"]).groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 4 and max(sizes) < 2 * 4500 / 4
 
 
 def test_wide_groups_keep_one_of_repeated_rows(spark):
