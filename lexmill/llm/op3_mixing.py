@@ -146,7 +146,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     out = with_ranks(out.select("doc_id", "size", "source_size", "target", "taken", "positions", "order_key"))
     first = (F.floor(F.array_min("positions") * 1e9) / 1e9).alias("first_position")
-    return out.select("doc_id", "size", "source_size", "target", "taken", first, F.array_min("ranks").alias("first_rank"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", first, F.coalesce(F.array_min("ranks"), F.lit(-1)).alias("first_rank"))  # null and -1: not taken
 
 
 QUERIES = {"op3_mixing": query}
@@ -187,7 +187,7 @@ WITH RECURSIVE d AS (
 ), f AS (
   SELECT r, min(e9) AS e9, min(place) AS place FROM (SELECT r, e9, row_number() OVER (ORDER BY e9, o, k) - 1 AS place FROM a) GROUP BY r
 )
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, f.e9 / 1e9::DOUBLE AS first_position, f.place::BIGINT AS first_rank
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, f.e9 / 1e9::DOUBLE AS first_position, coalesce(f.place, -1)::BIGINT AS first_rank
 FROM m LEFT JOIN f USING (r)
 """
 }

@@ -333,7 +333,7 @@ def test_mixing_query_returns_the_curriculum(spark, tmp_path):
     mixed = o3.mix(d)
     ranked = o3.with_ranks(mixed).collect()
     first = lambda r, p, k: str([r["doc_id"], r["size"], r["taken"], p, k])
-    want = [first(r, int(min(r["positions"]) * 1e9) / 1e9 if r["positions"] else None, min(r["ranks"]) if r["ranks"] else None) for r in ranked]
+    want = [first(r, int(min(r["positions"]) * 1e9) / 1e9 if r["positions"] else None, min(r["ranks"], default=-1)) for r in ranked]
     assert sorted(want) == sorted(first(r, r["first_position"], r["first_rank"]) for r in got.collect())
     order = sorted((k, int(p * 1e9), r["order_key"]) for r in ranked for k, p in zip(r["ranks"], r["positions"]))
     assert [k for k, _, _ in order] == list(range(len(order))) and [x[1:] for x in order] == sorted(x[1:] for x in order)
