@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.bucket_pairs import compare_units, forest
-from lexmill.llm.common import own_columns, saved, table
+from lexmill.llm.common import join_grouped, own_columns, saved, table
 from lexmill.llm.components import connected_components
 
 THRESHOLD = 0.9
@@ -47,7 +47,7 @@ def plan(rows: int, threshold: float = THRESHOLD, load: int = LOAD, recall: floa
 
 
 def table_keys(unit: np.ndarray, k: int, tables: int, seed: int = SEED) -> np.ndarray:
-    """(rows, tables) int64 keys of unit vectors (rows, dim)."""
+    """(rows, tables) int32 keys of unit vectors (rows, dim); a chance clash only adds pairs to look at."""
     dim = unit.shape[1]
     rng = np.random.default_rng([seed, dim])
     directions, shift = rng.standard_normal((dim, k * tables)), rng.uniform(0, WIDTH, k * tables)
@@ -57,11 +57,11 @@ def table_keys(unit: np.ndarray, k: int, tables: int, seed: int = SEED) -> np.nd
         for i in range(k):
             key = (key ^ (cell[:, :, i] + 512)) * np.int64(-7046029254386353131)
             key ^= (key >> 29) & np.int64((1 << 35) - 1)
-    return key
+    return (key >> 32).astype(np.int32)
 
 
 def _hashed(reps: DataFrame, k: int, tables: int) -> DataFrame:
-    """reps(id, size, v) -> a row for each table: key, id, size, unit (float64 bytes), codes (all keys), t."""
+    """reps(id, size, v array of float or double) -> a row for each table: key, id, size, v (bytes), codes (the tables' keys up to t), t."""
     schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("size", pa.int64()), ("v", pa.binary()), ("codes", pa.binary()), ("t", pa.int32())])
 
     def run(batches):
@@ -77,9 +77,10 @@ def _hashed(reps: DataFrame, k: int, tables: int) -> DataFrame:
                     y = x.astype(np.float64)
                     y /= np.abs(y).max(axis=1, keepdims=True)
                     keys = table_keys(y / np.linalg.norm(y, axis=1, keepdims=True), k, tables)
-                    raw, codes = [r.tobytes() for r in x], [r.tobytes() for r in keys]
+                    raw = [r.tobytes() for r in x]
                     for t in range(tables):
-                        yield pa.RecordBatch.from_arrays([pa.array(keys[:, t]), pa.array(ids[own]), pa.array(sizes[own]), pa.array(raw, pa.binary()), pa.array(codes, pa.binary()), pa.array(np.full(len(own), t, np.int32))], schema=schema)
+                        codes = [r.tobytes() for r in keys[:, :t]]
+                        yield pa.RecordBatch.from_arrays([pa.array((keys[:, t].astype(np.int64) << 16) + t), pa.array(ids[own]), pa.array(sizes[own]), pa.array(raw, pa.binary()), pa.array(codes, pa.binary()), pa.array(np.full(len(own), t, np.int32))], schema=schema)
 
     return reps.select("id", "size", "v").mapInArrow(run, "key long, id long, size long, v binary, codes binary, t int")
 
@@ -88,66 +89,70 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(id_col, n_links, component_id, kept) for each row of vectors.
 
     Rows whose vector is null, empty, zero or holds a null or non-finite component have no links and stay on their
-    own. Vectors of different lengths never link. Rows of one id count as rows of their own; a null id keeps its row,
-    with a null component unless linked to others. An empty table gives an empty table.
+    own. Vectors of different lengths never link. Rows of one id are rows of their own, and so are rows with a null id:
+    they are linked and counted like others, a component goes by its smallest id that is not null, and a row with a null
+    id is kept only if its component has no other id. An empty table gives an empty table.
     """
-    spark = vectors.sparkSession
-    v = own_columns(vectors, id_col, vector_col).toDF("id", "raw").withColumn("v", F.col("raw").cast("array<double>"))
+    v = own_columns(vectors, id_col, vector_col).toDF("id", "raw")
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    v = v.withColumn("v", F.col("raw") if single else F.col("raw").cast("array<double>"))
     fine = F.coalesce(
         (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0),
         F.lit(False),
     )
     v = v.select("id", F.when(fine, F.col("v")).alias("v"))
     v = v.withColumn("h", F.when(F.col("v").isNotNull(), F.xxhash64(F.transform("v", lambda x: x + F.lit(0.0)))))
-    classes = saved(v.where("v is not null and id is not null").groupBy("h", "v").agg(F.min("id").alias("id"), F.count("*").alias("size")), "vector-classes")
+    classes = v.where("v is not null").groupBy("h", "v").agg(F.min("id").alias("low"), F.count("*").alias("size"))
+    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")  # a class goes by a number of its own
     k, tables = plan(classes.count(), threshold)
+    kind = np.float32 if single else np.float64
 
     out_schema = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
     def compare(c: dict, same: bool):
-        ids, size = c["id"].to_numpy(), c["size"].to_numpy()
-        t = c["t"][0].as_py()
-        lengths = {len(x) for x in c["v"].to_pylist()}
-        dim = lengths.pop()
-        if lengths:
-            return None  # a chance clash of keys between vectors of different lengths; each length meets in its own table rows
-        x = np.frombuffer(b"".join(c["v"].to_pylist()), np.float64).reshape(len(ids), dim // 8)
+        raw = c["v"].to_pylist()
+        lengths = np.array([len(x) for x in raw])
+        found = [own(c, np.flatnonzero(lengths == n), raw, same) for n in np.unique(lengths)]  # several only by a chance clash of keys
+        found = [f for f in found if f is not None]
+        return {name: np.concatenate([f[name] for f in found]) for name in ("id", "root", "links")} if found else None
+
+    def own(c: dict, at: np.ndarray, raw: list[bytes], same: bool):
+        ids, size, t = c["id"].to_numpy()[at], c["size"].to_numpy()[at], c["t"][0].as_py()
+        x = np.frombuffer(b"".join([raw[i] for i in at]), kind).reshape(len(at), -1).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        codes = np.frombuffer(b"".join(c["codes"].to_pylist()), np.int64).reshape(len(ids), -1)[:, :t]
+        codes = np.frombuffer(b"".join([c["codes"][int(i)].as_py() for i in at]), np.int32).reshape(len(at), t)
         if same:
             a, b = np.nonzero(np.triu(x @ x.T >= threshold, 1))
         else:
-            m = int(np.count_nonzero(c["first"].to_numpy(zero_copy_only=False)))
+            m = int(np.count_nonzero(c["first"].to_numpy(zero_copy_only=False)[at]))
             a, b = np.nonzero(x[:m] @ x[m:].T >= threshold)
             b = b + m
         if not len(a):
             return None
         n = len(ids)
         links = np.zeros(n, np.int64)
-        for at in range(0, len(a), 1 << 16):
-            p, q = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        for i in range(0, len(a), 1 << 16):
+            p, q = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
             new = ~(codes[p] == codes[q]).any(axis=1) if t else np.ones(len(p), bool)
             np.add.at(links, p[new], size[q[new]])
             np.add.at(links, q[new], size[p[new]])
-        v, root = forest(n, a, b)
+        u, root = forest(n, a, b)
         tied = np.arange(n)
-        tied[v] = root
+        tied[u] = root
         told = np.flatnonzero((links > 0) | (tied != np.arange(n)))
         return {"id": ids[told], "root": ids[tied[told]], "links": links[told]}
 
     found = saved(compare_units(_hashed(classes, k, tables), BLOCK, compare, "id long, root long, links long", out_schema), "vector-links")
     member = connected_components(found.select(F.col("id").alias("u"), F.col("root").alias("v")))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
-    told = (
-        classes.select("h", F.col("v").alias("cv"), F.col("id").alias("rep"), "size")
-        .join(counts.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(member.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("h", "cv", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component_id"))
-    )
-    out = v.join(told, (v.h == told.h) & (v.v == told.cv) & v.id.isNotNull(), "left")
-    component = F.coalesce(F.col("component_id"), F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    told = classes.join(counts, "id", "left").join(member, "id", "left").withColumn("group", F.coalesce("component_id", "id"))
+    told = saved(told.select("h", F.col("v").alias("cv"), "group", "low", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("links")), "vector-classes-told")
+    lows = told.groupBy("group").agg(F.min("low").alias("component"))
+    told = saved(join_grouped(told.drop("low"), lows, "group").drop("group"), "vector-components")  # a table, so that the join on a hot vector can be split
+    out = v.join(told, (v.h == told.h) & (v.v == told.cv), "left")
+    component = F.coalesce(F.col("component"), F.col("id"))
+    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
