@@ -1,12 +1,12 @@
 """Language identification: scripts narrow the candidates, then Viterbi labels the words of mixed-language text.
 
-A word is a run of letters. Its score for a language is the sum of log-probabilities of its character 1- to 3-grams
+A word is a run of letters, with the marks that combine with them. Its score for a language is the sum of log-probabilities of its character 1- to 3-grams
 (with its borders), which are hashed into BUCKETS cells an order; only languages that the training texts show in the
 word's script stay candidates. Viterbi over a text's words pays SWITCH for each change of language; the text's language
 is the one whose labelled words have most letters, and its score is their share of all letters.
 
-Training counts n-grams on about MAX_TRAIN labelled texts (by a hash of the id) and collects one table of fixed size a
-language. Whole texts are scored, several of them at once in numpy.
+Training counts n-grams on about MAX_TRAIN labelled texts a language (by a hash of the id), so that rare languages are
+learned as well as frequent ones, and collects one table of fixed size a language. Whole texts are scored, several of them at once in numpy.
 """
 
 from __future__ import annotations
@@ -21,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import own_columns, table
+from lexmill.llm.common import checked_broadcast, own_columns, saved, table
 
 ORDERS = 3
 BUCKETS = 1 << 16
 SWITCH = 12.0
 SMOOTHING = 0.1
-MAX_TRAIN = 6_000
+#: Labelled texts that are learned from, about, for each language.
+MAX_TRAIN = 1_500
 #: A language is a candidate in a script that holds at least this share of its training letters.
 SCRIPT_SHARE = 0.01
 OUT_OF_SCRIPT = 60.0
@@ -54,14 +55,15 @@ N_SCRIPTS = len(SCRIPTS) + 1
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: letter?, script, lower-case form."""
-    letter, low = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.int32)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: letter?, combining mark?, script, lower-case form."""
+    letter, mark, low = np.zeros(0x110000, bool), np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.int32)
     for i in range(0x110000):
         if 0xD800 <= i < 0xE000 or 0x40000 <= i:
             continue
         c = chr(i)
-        if c.isalpha() or unicodedata.category(c) == "Mn":
+        mark[i] = unicodedata.category(c) in ("Mn", "Mc")
+        if c.isalpha():
             letter[i] = True
             x = c.lower()
             if len(x) == 1:
@@ -70,7 +72,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for k, (_, ranges) in enumerate(SCRIPTS):
         for a, b in ranges:
             script[a : b + 1] = k
-    return letter, script, low
+    return letter, mark, script, low
 
 
 @dataclass
@@ -85,10 +87,12 @@ class Words:
 
 
 def words_of(texts: list[str]) -> Words:
-    letter, script, low = _tables()
+    letter, mark, script, low = _tables()
     code = np.frombuffer(("\x00" + "\x00".join(texts) + "\x00").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
     doc_of = np.cumsum(code == 0, dtype=np.int32) - 1 if not any("\x00" in t for t in texts) else np.concatenate([[0], np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 for t in texts])])
-    is_letter = letter[code]
+    is_letter, is_mark = letter[code], mark[code]
+    host = np.maximum.accumulate(np.where(is_mark, 0, np.arange(len(code))))  # what a mark combines with
+    is_letter |= is_mark & is_letter[host]
     c = np.where(is_letter, low[code], 32).astype(np.uint32)
     before = np.concatenate([[False], is_letter[:-1]])
     begins = np.flatnonzero(is_letter & ~before)
@@ -178,7 +182,8 @@ def _labelled(texts: list[str | None], model: Model):
     n = len(model.langs)
     votes = np.bincount(w.doc * n + label, weights=w.letters, minlength=len(texts) * n).reshape(len(texts), n)
     total = votes.sum(axis=1)
-    out = [(model.langs[int(v.argmax())], float(v.max() / t)) if t > 0 and texts[i] else ("und", 0.0) for i, (v, t) in enumerate(zip(votes, total))]
+    learned = model.langs != ["und"]
+    out = [(model.langs[int(v.argmax())], float(v.max() / t)) if t > 0 and learned else ("und", 0.0) for v, t in zip(votes, total)]
     return out, w, label
 
 
@@ -202,11 +207,11 @@ def _sliced(b: pa.RecordBatch, col: int) -> Iterator[pa.RecordBatch]:
 
 
 def fit(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
-    """A model from labelled(id, text, lang), of which about max_train rows are used; no rows give a model of "und"."""
+    """A model from labelled(id, text, lang), of which about max_train rows a language are used; no rows give a model of "und"."""
     rows = labelled.where("text is not null and lang is not null")
-    total = rows.count()
-    if total > max_train:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("id"), F.lit(8)), F.lit(1_000_000)) < int(1_000_000 * max_train / total))
+    told = saved(rows.groupBy("lang").agg(F.count("*").alias("n")), "languages").withColumnRenamed("lang", "of")
+    share = F.pmod(F.xxhash64(F.col("id"), F.lit(8)), F.lit(1_000_000)) * F.col("n") < 1_000_000 * max_train
+    rows = rows.join(checked_broadcast(told), F.col("lang") == F.col("of")).where(share)
     schema = pa.schema([("lang", pa.string()), ("cell", pa.int32()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
