@@ -184,12 +184,17 @@ def learn(rows: list[tuple[dict, bool]], features: tuple[str, ...] = FEATURES, m
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> list[Rule]:
-    """Rules learned from docs that labels marks 0 (reject) or 1; at most max_rows rows reach the driver."""
+    """Rules learned from docs that labels marks 0 (reject) or 1; at most max_rows rows reach the driver.
+
+    An id that stands on several rows is learned from once, by the smallest hash of its texts; null ids and null labels
+    are passed by. Without labelled rows there are no rules.
+    """
     told = own_columns(labels, id_col, label_col).toDF("id", "label").where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
     told = told.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     told = checked_broadcast(saved(told, "labelled"), max_rows)  # bounded by max_rows; the texts stay where they are
     d = own_columns(docs, id_col, text_col).toDF("id", "text").join(told, "id")
-    rows = statistics(d, "text").select(F.xxhash64("id").alias("o"), "label", "base_failed", *FEATURES).limit(2 * max_rows).collect()
+    one = F.min(F.struct(F.xxhash64("text").alias("t"), "label", "base_failed", *FEATURES)).alias("x")  # of the texts of one id, one is learned from
+    rows = statistics(d, "text").groupBy("id").agg(one).select(F.xxhash64("id").alias("o"), "x.label", "x.base_failed", *[f"x.{f}" for f in FEATURES]).collect()
     rows.sort(key=lambda r: tuple(r))
     return learn([({f: r[f] for f in FEATURES}, r["label"] == 0) for r in rows if not r["base_failed"]])
 
