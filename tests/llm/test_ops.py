@@ -60,6 +60,7 @@ def test_embeddings_against_brute_force(spark):
     for i in range(n, n + 6):
         assert got[i]["n_links"] == 0 and got[i]["component_id"] == i and got[i]["kept"]
     assert got[n + 7]["component_id"] == n + 6
+    assert got[None]["n_links"] == 0 and got[None]["component_id"] is None and got[None]["kept"]
     assert o1.near_duplicates(df.limit(0)).count() == 0
 
 
@@ -551,3 +552,89 @@ def test_lines_of_many_rows_with_a_null_id(spark):
     rows = [(None, f"{LINE} {i % 40}\nx{i}") for i in range(400)] + [(1, f"{LINE} {i}") for i in range(40)] + [(2, f"{LINE} 3")]
     got = o2.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r["n_dropped"] for r in got if r["doc_id"] is None) == 10 and sum(r["n_dropped"] for r in got if r["doc_id"] == 1) == 1
+
+
+def test_embeddings_of_repeated_and_null_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0], [1.0, 0.01, 0.0, 0.0]
+    rows = [(5, a), (5, b), (6, c), (None, b), (None, a), (None, [0.0, 0.0, 0.0, 1.0])]
+    for kind in ("float", "double"):
+        d = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got = sorted((tuple(r) for r in o1.near_duplicates(d).collect()), key=str)
+        want = [(5, 2, 5, True), (5, 1, 5, True), (6, 2, 5, False), (None, 1, 5, False), (None, 2, 5, False), (None, 0, None, True)]
+        assert got == sorted(want, key=str)
+
+
+def test_language_of_marks_and_rare_languages(spark):
+    en, fr, xx = "the quick brown fox and the lazy dog", "le renard brun et le chien paresseux", "zqo vuk wrizq oqav"
+    d = spark.createDataFrame([(i, en if i % 2 else fr, "en" if i % 2 else "fr") for i in range(4000)] + [(9000 + i, xx, "xx") for i in range(3)], "id long, text string, lang string")
+    m = o8.fit(d, max_train=50)
+    assert m.langs == ["en", "fr", "xx"]
+    assert [x[0] for x in o8.identify(["\u0301\u0302", "\u0301 \u0300 1", en + " \u0301", xx, "e\u0301te\u0301"], m)][:4] == ["und", "und", "en", "xx"]
+    w = o8.words_of(["\u0301a\u0301\u0302b \u0301"])
+    assert w.letters.tolist() == [4]
+
+
+def test_rules_of_repeated_ids_and_empty_labels(spark):
+    rng = np.random.default_rng(0)
+    clean = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) for _ in range(120)]
+    rows = [(i, t if i % 2 else " ".join(w + "###" for w in t.split())) for i, t in enumerate(clean)]
+    d = spark.createDataFrame(rows + rows * 2 + [(None, "x"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(None, 0), (7, None)], "doc_id long, quality int")
+    once = o9.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert once and [str(r) for r in o9.fit(d, labels, max_rows=200)] == [str(r) for r in once]
+    assert o9.fit(d, labels.limit(0)) == [] == o9.fit(d.limit(0), labels)
+    kept = {r["doc_id"]: r["kept"] for r in o9.judge(d.where("text is not null"), once).collect()}
+    assert all(kept[i] == bool(i % 2) for i in range(120))
+
+
+def unigram_model(pieces):
+    """A unigram model with byte fallback as the sentencepiece library reads it, of (piece, score)."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    msg = lambda n, body: varint(n << 3 | 2) + varint(len(body)) + body
+    flag = lambda n, x: varint(n << 3) + varint(x)
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", 0.0, 6) for b in range(256)), *((p, s, 1) for p, s in pieces)]
+    body = b"".join(msg(1, msg(1, p.encode()) + b"\x15" + struct.pack("<f", s) + flag(3, k)) for p, s, k in rows)
+    trainer = flag(3, 1) + flag(4, len(rows)) + flag(35, 1)
+    return body + msg(2, trainer) + msg(3, msg(1, b"identity") + flag(3, 1) + flag(4, 0) + flag(5, 1))
+
+
+def test_unigram_of_thousands_of_pieces_equals_the_library(tmp_path):
+    counts = collections.Counter()
+    rng = np.random.default_rng(6)
+    syllables = ["ka", "to", "mi", "ser", "an", "é", "que", "th", "ing", "o", "ä", "sch"]
+    words = ["".join(rng.choice(syllables, int(rng.integers(1, 5)))) for _ in range(3000)]
+    for w in words:
+        w = "▁" + w
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + 9) + 1):
+                counts[w[i:j]] += 1
+    top = counts.most_common(4000)
+    total = sum(n for _, n in top)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(unigram_model([(p, float(np.log(n / total)) - 1e-4 * i) for i, (p, n) in enumerate(top)]))
+    odd = [" ".join(rng.choice(words, 60)) for _ in range(200)] + ["", " ", "kato  misering ", "日本語 ka😀to", "x\ny", "\u0000ka", *[t for t in texts() if t]]
+    m = o10.parse_model(path.read_bytes())
+    assert m.kind == o10.UNIGRAM and m.byte_fallback and len(m.pieces) == 4259
+    assert o10.sentencepiece_parity(odd, str(path)) == []
+    ids = o10.encode_batch(path.read_bytes(), odd)
+    assert o10.decode_batch(path.read_bytes(), ids) == odd
+
+
+def test_tokens_query(spark, tmp_path):
+    d = frame(spark, texts() + texts())
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    data = o10.read_model(o10.default_model_path())
+    for r in o10.query(spark, str(tmp_path)).collect():
+        t = (texts() + texts())[r["doc_id"]] or ""
+        ids = o10.encode_batch(data, [t])[0]
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"], r["round_trip"]) == (len(ids), o10.digest(ids), hashlib.sha256(t.encode()).hexdigest(), True)
+        assert r["parity"] in (None, True)
+    checked = [r["parity"] for r in o10.encode(d, verify_every=1).collect() if r["text"] is not None]
+    assert checked and all(checked)
