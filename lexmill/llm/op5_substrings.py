@@ -222,10 +222,11 @@ def _bitmap(shared: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """docs(doc long, th long, text) -> (doc, th, pos int, first): windows whose words also start in a document of a smaller doc.
+def repeated_windows(docs: DataFrame, with_first: bool = False, one_text_a_doc: bool = False) -> DataFrame:
+    """docs(doc long, th long, text) -> (doc, th, pos int): windows whose words also start in a document of a smaller doc.
 
-    first (doc, th, pos) is where the words start first. Windows that only stand in equal texts (of one th) are left out.
+    with_first adds first (doc, th, pos), where the words start first. Windows that only stand in equal texts (of one
+    th) are left out. Where each doc has one text, as one_text_a_doc says, th is null, as rows need not carry it.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
@@ -258,41 +259,48 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
                     fits = todo & ~large[k][(p % np.uint64(counters)).astype(np.int64)]
                     subtree[fits] = p[fits]
                     todo &= ~fits
-                doc, th = b.column(0).to_numpy()[s.doc], b.column(1).to_numpy()[s.doc]
+                doc, th = b.column(0).to_numpy()[s.doc], b.column(1).take(pa.array(s.doc))
                 n = np.where(todo, salts[(whole % np.uint64(counters)).astype(np.int64)], 1)
                 salt = np.where(n > 1, (_mix(doc.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64) + 1, 0)
-                yield pa.RecordBatch.from_arrays([pa.array((subtree >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(salt.astype(np.int32)), s.written(codes), pa.array(doc), pa.array(th), pa.array(s.pos.astype(np.int32))], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array((subtree >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(salt.astype(np.int32)), s.written(codes), pa.array(doc), th, pa.array(s.pos.astype(np.int32))], schema=schema)
 
-    dealt = docs.select("doc", "th", "text").mapInArrow(suffixes, "subtree int, salt int, suffix binary, doc long, th long, pos int")
+    told_apart = F.lit(None).cast("long").alias("th") if one_text_a_doc else F.col("th")
+    dealt = docs.select("doc", told_apart, "text").mapInArrow(suffixes, "subtree int, salt int, suffix binary, doc long, th long, pos int")
     dealt = dealt.repartition(parts, "subtree", "salt").drop("subtree").sortWithinPartitions("salt", "suffix", "doc", "th", "pos")
-    found_schema = pa.schema([("suffix", pa.binary()), ("doc", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("fdoc", pa.int64()), ("fth", pa.int64()), ("fpos", pa.int32())])
+    leaf = ["doc", "th", "pos"]
+    first_leaf = ["fdoc", "fth", "fpos"] if with_first else []
+    types = {"suffix": pa.binary(), "doc": pa.int64(), "th": pa.int64(), "pos": pa.int32(), "fdoc": pa.int64(), "fth": pa.int64(), "fpos": pa.int32()}
+    found_schema = pa.schema([(c, types[c]) for c in ["suffix", *leaf, *first_leaf]])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # salt and words of the node that the last batch ended in
-        first: list = []  # and its first leaf
+        last: tuple | None = None  # salt and words of the node that the last batch ended in, and its first leaf
+        first: list = []
         for b in batches:
             if not b.num_rows:
                 continue
             salt, suffix = b.column("salt").to_numpy(), b.column("suffix")
-            leaf = [b.column(c).to_numpy() for c in ("doc", "th", "pos")]
+            leaves = [b.column(c).fill_null(0).to_numpy() for c in (leaf if with_first else leaf[:1])]
             same = pc.equal(suffix.slice(1), suffix.slice(0, len(suffix) - 1)).to_numpy(zero_copy_only=False) & (salt[1:] == salt[:-1])
             new = np.concatenate([[last is None or last != (salt[0], suffix[0].as_py())], ~same])
             heads = np.flatnonzero(new)
             own = np.cumsum(new) - 1  # -1 goes on with the last batch's node
-            low = [np.where(own >= 0, x[heads[np.maximum(own, 0)]] if len(heads) else 0, first[i] if first else 0) for i, x in enumerate(leaf)]
+            low = [np.where(own >= 0, x[heads[np.maximum(own, 0)]] if len(heads) else 0, first[i] if first else 0) for i, x in enumerate(leaves)]
             last, first = (salt[-1], suffix[-1].as_py()), [x[-1] for x in low]
-            settled = leaf[0] > low[0]
+            settled = leaves[0] > low[0]
             told = np.flatnonzero(settled | (salt > 0))
             if len(told):
                 at = pa.array(told)
                 only_open = pa.array(np.where(settled[told], -1, told), mask=settled[told])  # words go on only with an open leaf
-                yield pa.RecordBatch.from_arrays([suffix.take(only_open), *(b.column(c).take(at) for c in ("doc", "th", "pos")), *(pa.array(x[told].astype(t)) for x, t in zip(low, (np.int64, np.int64, np.int32)))], schema=found_schema)
+                firsts = [pa.array(x[told], types[c]) for c, x in zip(first_leaf, low)]
+                yield pa.RecordBatch.from_arrays([suffix.take(only_open), *(b.column(c).take(at) for c in leaf), *firsts], schema=found_schema)
 
-    found = saved(dealt.mapInArrow(nodes, "suffix binary, doc long, th long, pos int, fdoc long, fth long, fpos int"), "repeat-leaves")
-    settled = found.where("suffix is null").select("doc", "th", "pos", F.struct(F.col("fdoc").alias("doc"), F.col("fth").alias("th"), F.col("fpos").alias("pos")).alias("first"))
-    open_leaves = found.where("suffix is not null").select("suffix", "doc", "th", "pos")
-    low = saved(open_leaves.groupBy("suffix").agg(F.min(F.struct("doc", "th", "pos")).alias("first")), "salted-nodes")  # a table, so that the join on a hot node can be split
-    return settled.union(open_leaves.join(low, "suffix").where("doc > first.doc").select("doc", "th", "pos", "first"))
+    spelled = {pa.binary(): "binary", pa.int64(): "long", pa.int32(): "int"}
+    found = saved(dealt.mapInArrow(nodes, ", ".join(f"{f.name} {spelled[f.type]}" for f in found_schema)), "repeat-leaves")
+    first = [F.struct(*[F.col(f).alias(c) for f, c in zip(first_leaf, leaf)]).alias("first")] if with_first else []
+    settled = found.where("suffix is null").select(*leaf, *first)
+    open_leaves = found.where("suffix is not null").select("suffix", *leaf)
+    low = saved(open_leaves.groupBy("suffix").agg(F.min(F.struct(*leaf)).alias("first")), "salted-nodes")  # a table, so that the join on a hot node can be split
+    return settled.union(open_leaves.join(low, "suffix").where("doc > first.doc").select(*leaf, *(["first"] if with_first else [])))
 
 
 def text_key(text: Column) -> Column:
@@ -313,7 +321,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     taken once, in their smallest document. Rows of one id are one document, all null ids one below all others.
     """
     d = _keyed(docs, id_col, text_col).where("text is not null").groupBy("th").agg(F.min(F.struct("doc", "text")).alias("x")).select("x.doc", "th", "x.text")
-    leaves = repeated_windows(saved(d, "distinct-texts"))
+    leaves = repeated_windows(saved(d, "distinct-texts"), with_first=True)
     shift = (F.col("pos") - F.col("first.pos")).alias("shift")
     leaves = leaves.select("doc", "th", "pos", F.col("first.doc").alias("first_doc"), F.col("first.th").alias("fth"), shift)
     nth = F.row_number().over(Window.partitionBy("doc", "th", "first_doc", "fth", "shift").orderBy("pos"))
@@ -333,8 +341,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ident = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID))
     keyed = docs.withColumns({"__doc": ident, "__th": text_key(text)})
     plain = _keyed(docs, id_col, text_col)
-    starts = repeated_windows(plain).groupBy("doc", "th").agg(F.collect_set("pos").alias("starts"))
     rows = saved(plain.where("text is not null").select("doc", "th").distinct(), "text-keys")
+    alone = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    starts = repeated_windows(plain, one_text_a_doc=alone).groupBy("doc", "th").agg(F.collect_set("pos").alias("starts"))
+    if alone:
+        starts = starts.drop("th").join(rows, "doc")
     first = rows.groupBy("th").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     copies = rows.join(saved(first, "copied-texts"), "th").where("doc > first").select("doc", "th", F.lit(True).alias("copy"))
     cut = starts.join(copies, ["doc", "th"], "full").select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), F.col("starts").alias("__starts"), F.col("copy").alias("__copy"))
