@@ -205,17 +205,24 @@ def wide_plan(rows: int, recall: float = WIDE_RECALL) -> tuple[int, int]:
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - same)))
 
 
-def _candidates(fp: np.ndarray, size: np.ndarray, left: slice, right: slice, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs left x right whose fingerprints are near and whose sizes allow the similarity."""
-    near = np.minimum(size[left, None], size[None, right]) >= SIMILARITY * np.maximum(size[left, None], size[None, right])
-    a, b = np.nonzero(near)
-    a, b = a + (left.start or 0), b + (right.start or 0)
-    a, b = a[a != b], b[a != b]
-    ok = np.zeros(len(a), bool)
-    for at in range(0, len(a), 1 << 18):
-        s = slice(at, at + (1 << 18))
-        ok[s] = np.bitwise_count(fp[a[s]] ^ fp[b[s]]).sum(axis=1, dtype=np.int16) <= limit
-    return a[ok], b[ok]
+def shared(sets: pa.Array, left: slice, right: slice) -> np.ndarray:
+    """(left, right) counts of the shingles that two sets share, exact; only shingles of several sets are multiplied."""
+    lens = np.array([len(x.as_buffer()) // 8 for x in sets])
+    value, code, n = np.unique(np.frombuffer(b"".join(x.as_buffer().to_pybytes() for x in sets), np.uint64), return_inverse=True, return_counts=True)
+    row, often = np.repeat(np.arange(len(lens)), lens), np.flatnonzero(n > 1)
+    place = np.full(len(value), -1)
+    place[often] = np.arange(len(often))
+    col = place[code]
+    row, col = row[col >= 0], col[col >= 0]
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    out = np.zeros((len(range(*left.indices(len(lens)))), len(range(*right.indices(len(lens))))))
+    for at in range(0, len(often), 1 << 13):
+        i, j = np.searchsorted(col, [at, at + (1 << 13)])
+        held = np.zeros((len(lens), min(1 << 13, len(often) - at)), np.float32)
+        held[row[i:j], col[i:j] - at] = 1
+        out += held[left] @ held[right].T
+    return out
 
 
 def link_wide(classes: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
@@ -270,8 +277,8 @@ def link_wide(classes: DataFrame, limit: int = WIDE_LIMIT) -> DataFrame:
     return compare_units(keyed, 512, compare, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
 
-def verified_links(members: DataFrame, similarity: float = SIMILARITY, limit: int = WIDE_LIMIT) -> DataFrame:
-    """members(id, component, size, fp, shingles binary) -> edges (u, v) of members whose shingle sets share similarity or more.
+def verified_links(members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """members(id, component, size, shingles binary) -> edges (u, v) of members whose shingle sets share similarity or more.
 
     Only pairs of one component are looked at; the edges connect what all such pairs connect. Each member is compared
     with its component's first one. Members that are not similar to it are then compared with all others of the
@@ -300,29 +307,18 @@ def verified_links(members: DataFrame, similarity: float = SIMILARITY, limit: in
     dealt = told.withColumn("key", F.bitwise_not("component")).join(checked_broadcast(counts), "key")
     own = F.when(F.col("rest"), F.pmod(F.xxhash64("id"), F.col("n_rest"))).otherwise(F.col("n_rest") + F.pmod(F.xxhash64("id"), F.col("n_other")))
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("rest"), F.col("n_rest") + F.col("n_other") - 1).otherwise(F.col("n_rest") - 1))))
-    dealt = dealt.select("key", "id", "size", "fp", "shingles", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
+    dealt = dealt.select("key", "id", "size", "shingles", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") <= F.col("other")).alias("first"))
 
     def compare(c: dict, same: bool):
         ids, size = c["id"].to_numpy(), c["size"].to_numpy()
-        fp = np.frombuffer(b"".join(c["fp"].to_pylist()), np.uint64).reshape(len(ids), LANES)
         m = int(np.count_nonzero(c["first"].to_numpy(zero_copy_only=False)))
-        a, b = _candidates(fp, size, slice(0, m), slice(0, m) if same else slice(m, len(ids)), limit)
-        root, u, v = list(range(len(ids))), [], []
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        sets = c["shingles"]
-        for x, y in zip(a.tolist(), b.tolist()):
-            p, q = top(x), top(y)
-            if p != q and jaccard(np.frombuffer(sets[x].as_buffer(), np.uint64), np.frombuffer(sets[y].as_buffer(), np.uint64)) >= similarity:
-                root[max(p, q)] = min(p, q)
-                u.append(ids[x])
-                v.append(ids[y])
-        return {"u": np.array(u, np.int64), "v": np.array(v, np.int64)} if u else None
+        right = 0 if same else m
+        near = shared(c["shingles"], slice(0, m), slice(right, len(ids))) * (1 + similarity) >= similarity * (size[:m, None] + size[None, right:])
+        p, q = np.nonzero(np.triu(near, 1) if same else near)  # both / (x + y - both) >= similarity
+        if not len(p):
+            return None
+        v, root = forest(len(ids), p, q + right)
+        return {"u": ids[v], "v": ids[root]}
 
     more = compare_dealt(dealt, compare, "u long, v long", pa.schema([("u", pa.int64()), ("v", pa.int64())]))
     return direct.union(more)
@@ -351,16 +347,16 @@ def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: st
     classes = fps.groupBy("set_key", "size", "fp").agg(F.min(F.struct("id", "th")).alias("first"))
     classes = saved(classes.select(F.monotonically_increasing_id().alias("id"), "set_key", "size", "fp", "first"), "wide-classes")
     component = saved(connected_components(link_wide(classes)).withColumnRenamed("component_id", "component"), "wide-candidates")
-    reps = classes.join(component, "id").select("id", "component", "size", "fp", F.col("first.id").alias("doc"), F.col("first.th").alias("th"))
+    reps = classes.join(component, "id").select("id", "component", "size", F.col("first.id").alias("doc"), F.col("first.th").alias("th"))
     reps = saved(reps, "wide-members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = pa.array([shingle_set(x.as_buffer().to_pybytes()).tobytes() for x in b.column("text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "component", "size", "fp")), made], names=["id", "component", "size", "fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", "component", "size")), made], names=["id", "component", "size", "shingles"])
 
     texts = d.select(F.col("id").alias("doc"), "th", "text").join(checked_broadcast(reps), ["doc", "th"]).dropDuplicates(["id"])
-    members = texts.select("id", "component", "size", "fp", "text").mapInArrow(sets, "id long, component long, size long, fp binary, shingles binary")
+    members = texts.select("id", "component", "size", "text").mapInArrow(sets, "id long, component long, size long, shingles binary")
     links = saved(verified_links(members), "wide-links")
     member = connected_components(links)
     group = saved(classes.join(member, "id", "left").select("set_key", "first", F.coalesce("component_id", "id").alias("group")), "wide-groups")
