@@ -53,8 +53,13 @@ def tick_step(lo: Column, hi: Column, count: int) -> Column:
 
 
 def ticks(lo: Column, hi: Column, count: int = 5) -> Column:
-    step = tick_step(lo, hi, count)
+    """Round values between lo and hi; lo alone where both are the same."""
+    step = tick_step(lo, F.when(hi != lo, hi), count)
     first, last = F.ceil(lo / step), F.floor(hi / step + 1e-9)
+    return F.when(lo == hi, F.array(lo.cast("double"))).otherwise(_between(first, last, step))
+
+
+def _between(first: Column, last: Column, step: Column) -> Column:
     return F.transform(F.sequence(first, last), lambda i: F.round(i * step, 10))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
@@ -116,10 +115,13 @@ def strata(rules: Sequence[Rule]) -> list[list[Rule]] | None:
 
 
 def _checkpoint_folder(spark: SparkSession) -> None:
-    """Make sure that there is one: what the session names, or where it names none (tests) a new folder."""
+    """Make sure that there is one: what the session names, or in a local session that names none, one in the warehouse."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexmill-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.lexmill-checkpoints")
 
 
 def evaluate(spark: SparkSession, facts: dict[str, DataFrame], rules: Sequence[Rule] = RULES, rounds: int = ROUND_CAP, tuples: int = TUPLE_CAP) -> Result:
@@ -162,13 +164,13 @@ def evaluate(spark: SparkSession, facts: dict[str, DataFrame], rules: Sequence[R
             if count:
                 delta[pred] = new
                 derived += count
-                relations[pred] = relations[pred].toDF(*new.columns).union(new).checkpoint() if pred in relations else new
+                relations[pred] = relations[pred].toDF(*new.columns).union(new) if pred in relations else new  # its parts are checkpointed
         if derived > tuples:
             capped = True
             break
         if not delta:
             break
-    return Result(relations, n, derived, capped)
+    return Result(relations, n, derived, capped or bool(delta))  # rounds ran out with something left to derive
 
 
 def graph_scores(result: Result, weights: dict[str, float] = WEIGHTS) -> DataFrame:

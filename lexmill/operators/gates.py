@@ -12,9 +12,15 @@ def bad_dates(df: DataFrame, date: str) -> DataFrame:
 
 
 def footnote_mismatches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, key, side): definitions without a reference and references without a definition."""
-    defs = docs.select(F.col(id_col).alias("doc"), F.explode(F.regexp_extract_all(text_col, F.lit(r"(?m)^\[\^([A-Za-z0-9]+)\]:"), F.lit(1))).alias("key")).distinct()
-    refs = docs.select(F.col(id_col).alias("doc"), F.explode(F.regexp_extract_all(text_col, F.lit(r"(?m)\[\^([A-Za-z0-9]+)\](?!:)"), F.lit(1))).alias("key")).distinct()
+    """(doc, key, side): definitions without a reference and references without a definition.
+
+    A marker that begins a line, blanks aside, and has a colon behind it is a definition; any other marker, also one
+    before a colon within a sentence, is a reference.
+    """
+    keys = lambda text, pattern: docs.select(F.col(id_col).alias("doc"), F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("key")).distinct()
+    definition, marker = r"(?<![^\n])[ \t]*\[\^([A-Za-z0-9]+)\]:", r"\[\^([A-Za-z0-9]+)\]"
+    defs = keys(F.col(text_col), definition)
+    refs = keys(F.regexp_replace(text_col, definition, ":"), marker)
     return defs.join(refs, ["doc", "key"], "left_anti").withColumn("side", F.lit("no reference")).union(refs.join(defs, ["doc", "key"], "left_anti").withColumn("side", F.lit("no definition")))
 
 

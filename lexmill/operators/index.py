@@ -89,8 +89,9 @@ def delta_encoded(pos: DataFrame) -> DataFrame:
 
 def delta_decoded(runs: DataFrame) -> DataFrame:
     """Inverse of delta_encoded."""
-    total = F.transform("runs", lambda x, i: F.aggregate(F.slice("runs", F.lit(1), i + 1), F.lit(0), lambda a, y: a + y))
-    return runs.select("doc", "term", F.explode(total).alias("pos"))
+    upto = Window.partitionBy("doc", "term").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    steps = runs.select("doc", "term", F.posexplode("runs").alias("i", "step"))
+    return steps.select("doc", "term", F.sum("step").over(upto).cast("int").alias("pos"))
 
 
 def vectors(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, dim: int = T.VECTOR_DIM) -> DataFrame:

@@ -345,6 +345,32 @@ def gate_footnotes(spark, d):
     return G.footnote_mismatches(spark.createDataFrame([(0, _MD + "\nstray[^z] mark\n")], "doc_id long, text string"), "doc_id", "text")
 
 
+@query(
+    "gate_footnotes_documents",
+    """SELECT doc_id AS doc, 'k' || (doc_id % 5) AS key, 'no reference' AS side FROM documents WHERE doc_id % 5 <> doc_id % 7
+UNION ALL SELECT doc_id, 'k' || (doc_id % 7), 'no definition' FROM documents WHERE doc_id % 5 <> doc_id % 7""",
+)
+def gate_footnotes_documents(spark, d):
+    """The footnote gate over the documents, each with a reference before a colon and an indented definition put in."""
+    mark = lambda m: F.concat(F.lit("[^k"), (F.col("doc_id") % m).cast("string"), F.lit("]"))
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), r"\[\^", "(^")
+    text = F.concat(bare, F.lit("\nended on a claim"), mark(7), F.lit(": more\n \t"), mark(5), F.lit(": a note"))
+    return G.footnote_mismatches(table(spark, d, "documents").select("doc_id", text.alias("text")), "doc_id", "text")
+
+
+@query(
+    "gate_text_dates",
+    """SELECT doc_id AS doc, d FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN NULL WHEN 1 THEN '2024-02-30' WHEN 2 THEN '2024-2-3' WHEN 3 THEN '2023-13-01' ELSE strftime(DATE '2020-01-01' + (doc_id % 900)::INT, '%Y-%m-%d') END AS d FROM documents)
+WHERE d IS NULL OR NOT regexp_full_match(d, '\\d{4}-\\d{2}-\\d{2}') OR try_cast(d AS DATE) IS NULL""",
+)
+def gate_text_dates(spark, d):
+    """The date gate over dates as texts, bad ones among them."""
+    k = F.col("doc_id") % 6
+    good = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") % 900).cast("int")), "yyyy-MM-dd")
+    text = F.when(k == 0, F.lit(None)).when(k == 1, "2024-02-30").when(k == 2, "2024-2-3").when(k == 3, "2023-13-01").otherwise(good)
+    return G.bad_dates(table(spark, d, "documents").select(F.col("doc_id").alias("doc"), text.alias("d")), "d")
+
+
 @query("edit_distance", "SELECT a.p_partkey, levenshtein(a.p_name, 'almond anvil')::INT AS plain FROM part a")
 def edit_distance(spark, d):
     return table(spark, d, "part").select("p_partkey", F.levenshtein("p_name", F.lit("almond anvil")).alias("plain"))

@@ -150,7 +150,10 @@ class Engine:
         return g.select("doc", F.col("score").alias("g"), note.alias("note"))
 
     def search(self, q: str, series: str | None = None, kind: str | None = None, sort: str = "rel", limit: int = RESULTS) -> DataFrame:
-        """(doc, named, score, why) of a query, ranked."""
+        """(doc, named, score, why) of a query, ranked; sort="new" puts the newest first, by a date column of docs.
+
+        A phrase none of whose words is known filters nothing.
+        """
         spec = parse(q)
         lex, vec, allowed = self.lexical(spec), self.vector(spec), self._allowed(series, kind)
         tops = lex.agg(F.max("score").alias("top_l")).crossJoin(vec.agg(F.max("score").alias("top_v")))
@@ -165,12 +168,34 @@ class Engine:
         only = g.join(m.select("doc"), "doc", "left_anti").join(allowed, "doc").orderBy(F.desc("g"), "doc").limit(GRAPH_ONLY)
         only = only.select("doc", F.lit(False).alias("named"), F.col("g").alias("score"), F.array().cast("array<struct<ord:int,label:string>>").alias("why"), "note")
         out = both.unionByName(only)
-        for p in spec.phrases:
+        for p in self._known_phrases(spec):
             out = out.join(L.phrase_hits(self.docs, p, "doc", "text").select("doc"), "doc", "left_semi")
         noted = F.when(F.col("note").isNotNull(), F.array(F.struct(F.lit(6).alias("ord"), F.col("note").alias("label")))).otherwise(F.array().cast("array<struct<ord:int,label:string>>"))
         out = out.select("doc", "named", F.round("score", 6).alias("score"), S.reasons(F.concat("why", noted)).alias("why"))
+        if sort == "new":
+            dated = out.join(self.docs.select("doc", "date"), "doc")
+            return dated.orderBy(F.desc_nulls_last("date"), F.desc("named"), F.desc("score"), "doc").limit(limit).drop("date")
         return out.orderBy(F.desc("named"), F.desc("score"), "doc").limit(limit)
 
+    def _known_phrases(self, spec: Spec) -> list[L.Phrase]:
+        """The phrases that have a word of the vocabulary."""
+        words = sorted({w for p in spec.phrases for w in p.words})
+        if not words:
+            return []
+        known = {r[0] for r in I.vocabulary(self.docs, "doc", "text").where(F.col("term").isin(words)).collect()}  # a row a query word at most
+        return [p for p in spec.phrases if known & set(p.words)]
+
+    def thin_suggestion(self, q: str, found: DataFrame) -> str | None:
+        """The nearest known word of an unknown one, where a query found THIN rows or fewer."""
+        spec = parse(q)
+        if spec.pattern is not None or len(found.head(THIN + 1)) > THIN:
+            return None
+        vocab = I.vocabulary(self.docs, "doc", "text")
+        known = {r[0] for r in vocab.where(F.col("term").isin(list(spec.tokens))).collect()}  # a row a query word at most
+        unknown = [t for t in spec.tokens if t not in known]
+        best = L.suggestion(vocab, unknown).orderBy("distance", "term").first() if unknown else None
+        return best["term"] if best is not None else None
+
     def search_or_corrected(self, q: str, **facets) -> tuple[DataFrame, str | None]:
         """search(q); where that is empty, and an unknown word has a neighbour within one edit, the corrected query's rows."""
         first = self.search(q, **facets)

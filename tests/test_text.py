@@ -74,3 +74,24 @@ def test_escaping_and_numbers(spark):
 def test_cursor_and_marks(spark):
     assert one(spark, T.cursor_word(F.lit("open theurgy now"), F.lit(12))) == "theurgy"
     assert one(spark, T.mark(F.lit("Theurgy and the"), ["theurg"])) == "<mark>Theurgy</mark> and the"
+
+
+def test_gates_ticks_and_caps(spark):
+    from pyspark.sql import functions as F
+
+    from lexmill.functions import numeric
+    from lexmill.operators import datalog, gates, index
+
+    text = "It ended on a claim[^x]: text, and[^q].\n  [^x]: a note\n[^y]: unused\nmore [^z] here"
+    got = {tuple(r) for r in gates.footnote_mismatches(spark.createDataFrame([(1, text)], "doc long, text string"), "doc", "text").collect()}
+    assert got == {(1, "y", "no reference"), (1, "q", "no definition"), (1, "z", "no definition")}
+    dates = spark.createDataFrame([("2024-02-29",), ("2023-02-29",), ("2024-1-1",), (None,)], "d string")
+    assert gates.bad_dates(dates, "d").count() == 3
+    t = spark.createDataFrame([(2.0, 2.0), (0.0, 10.0)], "a double, b double").select(numeric.ticks(F.col("a"), F.col("b"))).collect()
+    assert t[0][0] == [2.0] and t[1][0] == [0.0, 2.0, 4.0, 6.0, 8.0, 10.0]
+    runs = spark.createDataFrame([(1, "w", [3, 4, 1]), (1, "v", [0])], "doc long, term string, runs array<int>")
+    assert sorted((r["term"], r["pos"]) for r in index.delta_decoded(runs).collect()) == [("v", 0), ("w", 3), ("w", 7), ("w", 8)]
+    chain = spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    A, R = datalog.Atom, datalog.Rule
+    rules = [R(A("reach", ("X", "Y")), (A("link", ("X", "Y")),)), R(A("reach", ("X", "Z")), (A("reach", ("X", "Y")), A("link", ("Y", "Z"))))]
+    assert datalog.evaluate(spark, {"link": chain}, rules, rounds=3).capped and not datalog.evaluate(spark, {"link": chain}, rules, rounds=20).capped
