@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexmill.plans import more_queries, report_queries, retrieval_queries  # noqa: F401
+from lexmill.plans import more_queries, record_queries, report_queries, retrieval_queries  # noqa: F401
 from lexmill.plans.registry import QUERIES, SQL
 
 

@@ -122,3 +122,27 @@ def evidence(n: Column) -> Column:
 
 def log_distance(x: Column) -> Column:
     return F.pow(F.lit(10.0), -x) * 800
+
+
+def superscript(n: Column) -> Column:
+    return F.translate(n.cast("string"), "-0123456789", "⁻⁰¹²³⁴⁵⁶⁷⁸⁹")
+
+
+def distance_label(d: Column) -> Column:
+    """m×10ᵉ with at most one decimal; 1 from one on, 0 for what is not above zero."""
+    e = F.floor(F.ln(d) / math.log(10))
+    m = d / F.pow(F.lit(10.0), e.cast("double"))
+    whole = F.round(m)
+    digits = F.when(F.abs(m - whole) < 1e-9, whole.cast("long").cast("string")).otherwise(trimmed_number(m, 1))
+    return F.when(d.isNull() | F.isnan(d) | (d <= 0), "0").when(d >= 1, "1").otherwise(F.concat(digits, F.lit("×10"), superscript(e)))
+
+
+def gauges(d: Column) -> Column:
+    """Array of authority, scrutiny, cost of doubt and protection, each from 0 to 1."""
+    return F.transform(F.array(d, 1 - d, d, 1 - d), lambda x: clamp(x, 0.0, 1.0))
+
+
+def remaining_share(items: Column, core: int) -> Column:
+    """Share of the work that is left: core tasks, and those of items (on boolean) that are not on."""
+    left = F.size(F.filter(items, lambda x: ~F.coalesce(x["on"], F.lit(False))))
+    return (left + core) / (F.size(items) + core)

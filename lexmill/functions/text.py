@@ -215,3 +215,78 @@ def mark(text: Column, stems: list[str]) -> Column:
 
 def mark_count(text: Column, stems: list[str]) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(rf"(?i)\b(?:{'|'.join(sorted(stems, key=lambda s: (-len(s), s)))})[a-z'-]*"), F.lit(0)))
+
+
+def arrival_words(q: Column) -> Column:
+    """Distinct index terms of a query by which a reader arrived: quotes part words, a marked word stays a word."""
+    return F.array_distinct(terms(F.translate(q, '"“”', "   ")))
+
+
+def normalize_argument(arg: Column) -> Column:
+    """A command's argument: options go, one blank between parts, then a final .md, then the quotes around it."""
+    parts = F.filter(F.split(F.coalesce(arg, F.lit("")), r"\s+"), lambda p: (p != "") & ~p.startswith("-"))
+    bare = F.regexp_replace(F.array_join(parts, " "), r"\.md$", "")
+    return F.regexp_replace(bare, r"""^["'](.*)["']$""", "$1")
+
+
+def loose_json(text: Column) -> Column:
+    """The object in a text as valid JSON: as it stands, else without trailing commas, else with bare names quoted too; null if none."""
+    body = F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit(""))
+    no_commas = F.regexp_replace(body, r",\s*([}\]])", "$1")
+    quoted = F.regexp_replace(no_commas, r"([{,]\s*)([A-Za-z_][A-Za-z0-9_]*)\s*:", '$1"$2":')
+    return F.coalesce(*[F.when(F.try_parse_json(x).isNotNull(), x) for x in (body, no_commas, quoted)])
+
+
+def opening_paragraphs(source: Column, least: int = 80, most: int = 6000) -> Column:
+    """The leading paragraphs of a Markdown text that are longer than least, as many as fit into most characters.
+
+    A paragraph counts with the break behind it. Without any such paragraph, the first characters of the plain text.
+    """
+    text = plain_markdown(source)
+    long = F.filter(F.split(text, r"\n\s*\n"), lambda p: F.length(trim_space(p)) > least)
+    start = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("n"), F.lit(False).alias("full"))
+
+    def take(s: Column, p: Column) -> Column:
+        full = s["full"] | (s["chars"] + F.length(p) > most)
+        more = lambda a, b: F.when(full, a).otherwise(b)
+        return F.struct(more(s["chars"], s["chars"] + F.length(p) + 2).alias("chars"), more(s["n"], s["n"] + 1).alias("n"), full.alias("full"))
+
+    n = F.aggregate(long, start, take, lambda s: s["n"])
+    taken = trim_space(F.array_join(F.slice(long, F.lit(1), n), "\n\n"))
+    return F.when(taken != "", taken).otherwise(F.left(text, F.lit(most)))
+
+
+def trim_space(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+#: Fixed patterns of marks that a reader does not see, and what stands in their place.
+MARKS = (
+    (r"(?m)^---$", " "),
+    (r"(?s)```.*?```", " "),
+    (r"`([^`]*)`", "$1"),
+    (r"!\[[^\]]*\]\([^)]*\)", " "),
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"(?m)^\s{0,3}#{1,6}\s+", ""),
+    (r"(?m)^\s{0,3}>\s?", ""),
+    (r"(?m)^\s{0,3}[-*+]\s+", ""),
+    (r"\*\*([^*]*)\*\*", "$1"),
+    (r"\*([^*]*)\*", "$1"),
+    (r"\[\^[^\]]*\]", " "),
+    (r"\n{3,}", "\n\n"),
+)
+
+
+def plain_markdown(source: Column) -> Column:
+    return trim_space(_chain(F.coalesce(source, F.lit("")), *MARKS))
+
+
+def fragment(primary: Column, own: Column, others: Column) -> Column:
+    """viz=w&k=v&other.k=v of a widget's own map and a map of widget.key, keys in order; what fragment_state reads."""
+    parts = lambda m: F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), url_component(e["value"])))
+    return F.array_join(F.concat(F.array(F.concat(F.lit("viz="), primary)), parts(own), parts(others)), "&")
+
+
+def changed_fragment(now: Column, before: Column) -> Column:
+    """The fragment to write: null where it is what is there already."""
+    return F.when(~now.eqNullSafe(before), now)

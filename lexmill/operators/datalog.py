@@ -178,3 +178,23 @@ def graph_scores(result: Result, weights: dict[str, float] = WEIGHTS) -> DataFra
     at = {"related": 1, "points_at": 1, "same_series": 1, "near": 1}
     parts = [result.relations[p].select(F.col(result.relations[p].columns[at[p]]).alias("doc"), F.lit(w).alias("score"), F.lit(p).alias("rule")) for p, w in weights.items() if p in result.relations]
     return reduce(DataFrame.union, parts).groupBy("doc").agg(F.max("score").alias("score"), F.max_by("rule", "score").alias("rule"))
+
+
+def graph_reasons(result: Result, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(doc, reason, score): works cited and links one by one; neighbours of a series as one count, two hops as one reason."""
+    told = result.relations
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    parts = []
+    if "related" in told:
+        r = told["related"].toDF("p", "q", "s").distinct()
+        parts.append(r.select(F.col("q").alias("doc"), text('graph: also cites "', F.col("s"), '", like ', F.col("p")).alias("reason"), F.lit(weights["related"]).alias("score")))
+    if "points_at" in told:
+        r = told["points_at"].toDF("p", "q").distinct()
+        parts.append(r.select(F.col("q").alias("doc"), text("graph: linked from ", F.col("p")).alias("reason"), F.lit(weights["points_at"]).alias("score")))
+    if "same_series" in told:
+        n = told["same_series"].toDF("p", "q").distinct().groupBy(F.col("q").alias("doc")).agg(F.count("*").alias("n"))
+        parts.append(n.select("doc", F.when(F.col("n") == 1, "graph: one neighbour in its series").otherwise(text("graph: ", F.col("n"), " of its neighbours are in its series")).alias("reason"), F.lit(weights["same_series"]).alias("score")))
+    if "near" in told:
+        r = told["near"].toDF("p", "q")
+        parts.append(r.select(F.col("q").alias("doc")).distinct().select("doc", F.lit("graph: reached by two hops").alias("reason"), F.lit(weights["near"]).alias("score")))
+    return reduce(DataFrame.union, parts)

@@ -108,3 +108,10 @@ def quantised(v: DataFrame) -> DataFrame:
     """(doc, dim, q): unit length, 127 steps a side, halves towards plus infinity; a zero vector stays zero."""
     norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy("doc")))
     return v.select("doc", "dim", F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(F.col("v") / F.when(norm == 0, 1).otherwise(norm) * 127 + 0.5))).cast("int").alias("q"))
+
+
+def first_hits(docs: DataFrame, terms: list[str], id_col: str = ID, text_col: str = TEXT) -> DataFrame:
+    """(doc, hit_at): the least position of any of the terms, for documents that have one. No shuffle."""
+    w = T.words(F.col(text_col))
+    at = F.array_min(F.transform(F.array(*[F.lit(t) for t in terms]), lambda t: F.nullif(F.array_position(w, t), F.lit(0)) - 1))
+    return docs.select(F.col(id_col).alias("doc"), at.cast("int").alias("hit_at")).where("hit_at is not null")

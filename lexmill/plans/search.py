@@ -23,6 +23,15 @@ from lexmill.operators import snippets as S
 W_LEX, W_VEC, W_GRAPH = 0.62, 0.38, 0.35
 SEEDS, RESULTS, GRAPH_ONLY, THIN = 6, 24, 12, 2
 
+#: What a query without rows is told, by its leading part.
+EMPTY = {
+    "pattern": "No word matches this pattern, or no document holds one that does.",
+    "phrase": "No document has these words side by side in this order.",
+    "words": "No document answers to these words.",
+    "approximate": "No known word is near a marked one; a second tilde allows two edits.",
+    "empty": "Type a word to search for.",
+}
+
 
 @dataclass(frozen=True)
 class Spec:
@@ -86,7 +95,10 @@ class Engine:
         return d.where(F.col("kind") == kind) if kind else d
 
     def lexical(self, spec: Spec) -> DataFrame:
-        """(doc, score, named, hit_at, why: array of ord and label), summed over all term hits."""
+        """(doc, score, named, why: array of ord and label, hit_at), summed over all term hits.
+
+        hit_at is the first position of an exact word, null where none stands in the text.
+        """
         parts = []
         shape = lambda d, score, named, ord_, text: d.select("doc", score.alias("score"), named.alias("named"), F.struct(F.lit(ord_).alias("ord"), text.alias("label")).alias("why"))
         df = I.document_frequency(self.docs, "doc", "text")
@@ -116,11 +128,14 @@ class Engine:
             h = L.phrase_hits(self.docs, p, "doc", "text").crossJoin(F.broadcast(weight))
             parts.append(shape(h, F.col("w"), F.lit(True), 4, F.lit(f'phrase: "{p.text}"')))
         if not parts:
-            return self.docs.select("doc", F.lit(0.0).alias("score"), F.lit(False).alias("named"), F.array().cast("array<struct<ord:int,label:string>>").alias("why")).limit(0)
+            return self.docs.select("doc", F.lit(0.0).alias("score"), F.lit(False).alias("named"), F.array().cast("array<struct<ord:int,label:string>>").alias("why"), F.lit(None).cast("int").alias("hit_at")).limit(0)
         out = parts[0]
         for x in parts[1:]:
             out = out.union(x)
-        return out.groupBy("doc").agg(F.sum("score").alias("score"), F.bool_or("named").alias("named"), F.collect_set("why").alias("why"))
+        out = out.groupBy("doc").agg(F.sum("score").alias("score"), F.bool_or("named").alias("named"), F.collect_set("why").alias("why"))
+        if not spec.tokens:
+            return out.withColumn("hit_at", F.lit(None).cast("int"))
+        return out.join(I.first_hits(self.docs, list(spec.tokens), "doc", "text"), "doc", "left")
 
     def vector(self, spec: Spec) -> DataFrame:
         """(doc, score): cosine of the words' signed hashed idf against quantised document vectors, above the floor."""
@@ -136,7 +151,7 @@ class Engine:
         return s.crossJoin(F.broadcast(best)).where(F.col("score") >= 0.34 * F.col("best")).select("doc", "score")
 
     def graph(self, seeds: DataFrame) -> DataFrame | None:
-        """(doc, g, note) by the rules, from seeds(doc)."""
+        """(doc, g, notes) by the rules, from seeds(doc)."""
         empty = lambda cols: self.docs.select(*[F.col("doc").alias(c) for c in cols]).limit(0)
         facts = {
             "seed": seeds.select("doc"),
@@ -145,38 +160,56 @@ class Engine:
             "series_of": self.docs.select("doc", "series"),
         }
         told = D.evaluate(self.docs.sparkSession, facts, self.rules)
-        g = D.graph_scores(told)
-        note = F.when(F.col("rule") == "related", "graph: also cites a work of a hit").when(F.col("rule") == "points_at", "graph: linked from a hit").when(F.col("rule") == "same_series", "graph: neighbours in its series").otherwise("graph: reached by two hops")
-        return g.select("doc", F.col("score").alias("g"), note.alias("note"))
+        return D.graph_reasons(told).groupBy("doc").agg(F.max("score").alias("g"), F.array_sort(F.collect_list("reason")).alias("notes"))  # a few reasons a seed
 
     def search(self, q: str, series: str | None = None, kind: str | None = None, sort: str = "rel", limit: int = RESULTS) -> DataFrame:
-        """(doc, named, score, why) of a query, ranked; sort="new" puts the newest first, by a date column of docs.
+        """(doc, named, score, why, hit_at) of a query, ranked; sort="new" puts the newest first, by a date column of docs.
 
         A phrase none of whose words is known filters nothing.
         """
         spec = parse(q)
         lex, vec, allowed = self.lexical(spec), self.vector(spec), self._allowed(series, kind)
         tops = lex.agg(F.max("score").alias("top_l")).crossJoin(vec.agg(F.max("score").alias("top_v")))
-        m = lex.select("doc", F.col("score").alias("l"), "named", "why").join(vec.select("doc", F.col("score").alias("v")), "doc", "full_outer").crossJoin(F.broadcast(tops))
+        m = lex.select("doc", F.col("score").alias("l"), "named", "why", "hit_at").join(vec.select("doc", F.col("score").alias("v")), "doc", "full_outer").crossJoin(F.broadcast(tops))
         share = lambda x, top: F.coalesce(F.col(x) / F.nullif(F.col(top), F.lit(0.0)), F.lit(0.0))
         why = F.concat(F.coalesce("why", F.array().cast("array<struct<ord:int,label:string>>")), F.when(F.col("v").isNotNull(), F.array(F.struct(F.lit(5).alias("ord"), F.lit("similar").alias("label")))).otherwise(F.array().cast("array<struct<ord:int,label:string>>")))
-        m = m.select("doc", (W_LEX * share("l", "top_l") + W_VEC * share("v", "top_v")).alias("m"), F.coalesce("named", F.lit(False)).alias("named"), why.alias("why")).join(allowed, "doc")
+        m = m.select("doc", (W_LEX * share("l", "top_l") + W_VEC * share("v", "top_v")).alias("m"), F.coalesce("named", F.lit(False)).alias("named"), why.alias("why"), "hit_at").join(allowed, "doc")
         m = m.persist()  # matched documents only; read four times below
         seeds = m.orderBy(F.desc("named"), F.desc("m"), "doc").limit(SEEDS)
         g = self.graph(seeds)
-        both = m.join(g, "doc", "left").select("doc", "named", (F.col("m") + F.coalesce(W_GRAPH * F.col("g"), F.lit(0.0))).alias("score"), "why", "note")
+        both = m.join(g, "doc", "left").select("doc", "named", (F.col("m") + F.coalesce(W_GRAPH * F.col("g"), F.lit(0.0))).alias("score"), "why", "hit_at", "notes")
         only = g.join(m.select("doc"), "doc", "left_anti").join(allowed, "doc").orderBy(F.desc("g"), "doc").limit(GRAPH_ONLY)
-        only = only.select("doc", F.lit(False).alias("named"), F.col("g").alias("score"), F.array().cast("array<struct<ord:int,label:string>>").alias("why"), "note")
+        only = only.select("doc", F.lit(False).alias("named"), F.col("g").alias("score"), F.array().cast("array<struct<ord:int,label:string>>").alias("why"), F.lit(None).cast("int").alias("hit_at"), "notes")
         out = both.unionByName(only)
         for p in self._known_phrases(spec):
             out = out.join(L.phrase_hits(self.docs, p, "doc", "text").select("doc"), "doc", "left_semi")
-        noted = F.when(F.col("note").isNotNull(), F.array(F.struct(F.lit(6).alias("ord"), F.col("note").alias("label")))).otherwise(F.array().cast("array<struct<ord:int,label:string>>"))
-        out = out.select("doc", "named", F.round("score", 6).alias("score"), S.reasons(F.concat("why", noted)).alias("why"))
+        noted = F.transform(F.coalesce("notes", F.array().cast("array<string>")), lambda x: F.struct(F.lit(6).alias("ord"), x.alias("label")))
+        out = out.select("doc", "named", F.round("score", 6).alias("score"), S.reasons(F.concat("why", noted)).alias("why"), "hit_at")
         if sort == "new":
             dated = out.join(self.docs.select("doc", "date"), "doc")
             return dated.orderBy(F.desc_nulls_last("date"), F.desc("named"), F.desc("score"), "doc").limit(limit).drop("date")
         return out.orderBy(F.desc("named"), F.desc("score"), "doc").limit(limit)
 
+    def summary(self, q: str, found: DataFrame, sort: str = "rel") -> DataFrame:
+        """One row on search(q)'s rows: named, related, folded, message.
+
+        folded: related rows stand behind a row that counts them, where some are named and the order is by rank.
+        message says why there are no rows; null where there are.
+        """
+        spec = parse(q)
+        n = found.agg(F.count_if("named").alias("named"), F.count_if(~F.col("named")).alias("related"))
+        why = "pattern" if spec.pattern is not None else "phrase" if spec.phrases else "words" if spec.tokens else "approximate" if spec.fuzzy else "empty"
+        folded = (F.col("named") > 0) & (F.col("related") > 0) & F.lit(sort != "new")
+        return n.select("named", "related", folded.alias("folded"), F.when(F.col("named") + F.col("related") == 0, EMPTY[why]).alias("message"))
+
+    def snippets(self, found: DataFrame) -> DataFrame:
+        """found with snippet: the line that holds hit_at, else the text's first line. The as-of line is chosen within a document."""
+        lines = I.line_passages(self.docs.join(found.select("doc"), "doc", "left_semi"), "doc", "text")
+        j = found.join(lines.select("doc", "start", "n_words", "body"), "doc", "left")
+        holds = (F.col("hit_at") >= F.col("start")) & (F.col("hit_at") < F.col("start") + F.col("n_words"))
+        best = j.groupBy("doc").agg(F.min_by("body", F.struct(~F.coalesce(holds, F.lit(False)), F.col("start"))).alias("snippet"))
+        return found.join(best, "doc", "left")
+
     def _known_phrases(self, spec: Spec) -> list[L.Phrase]:
         """The phrases that have a word of the vocabulary."""
         words = sorted({w for p in spec.phrases for w in p.words})
