@@ -638,3 +638,9 @@ def test_tokens_query(spark, tmp_path):
         assert r["parity"] in (None, True)
     checked = [r["parity"] for r in o10.encode(d, verify_every=1).collect() if r["text"] is not None]
     assert checked and all(checked)
+
+
+def test_tokens_query_checks_every_text(spark, tmp_path):
+    frame(spark, texts()).write.parquet(f"{tmp_path}/documents.parquet")
+    parity = {r["doc_id"]: r["parity"] for r in o10.query(spark, str(tmp_path)).collect()}
+    assert parity == {i: None if t is None else True for i, t in enumerate(texts())}
