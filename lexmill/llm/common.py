@@ -35,10 +35,21 @@ def app_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexmill-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a Parquet table into the shared folder and read it back: cuts lineage, survives lost executors."""
+def saved(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write df as a Parquet table into the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With release, shuffle files go as soon as the table is written, not when the driver's collector comes by.
+    """
     path = app_path(df.sparkSession, name)
-    df.write.parquet(path)
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    if release:
+        conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            conf.set(key, before) if before is not None else conf.unset(key)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

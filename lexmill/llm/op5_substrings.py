@@ -12,7 +12,8 @@ built whole:
 3. A subtree is built from its sorted suffixes. A suffix is written down to the window's depth as its words themselves,
    frequent ones by a prefix-free code of one to three bytes, others in full; so suffixes compare as their words do, and
    no hash decides. Runs of equal suffixes are the nodes of that depth; leaves of a node in other documents than its
-   first are repeats. Salted parts report their first leaves, and a last step settles these across the parts.
+   first are repeats. Salted parts report their first leaves, and a last step settles these across the parts. A suffix
+   is dealt and sorted as one string of bytes (subtree, words, leaf), whose order is that of its words and leaves.
 4. Covered words are marked by document and the rest is put together. Texts that equal one of a smaller document need no
    tree: all their windows are repeats.
 
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexmill.llm.common import own_columns, saved, shuffle_partitions, table
+from lexmill.llm.common import drop_saved, own_columns, saved, shuffle_partitions, table
 
 WINDOW = 13
 GRAM = 5
@@ -42,6 +43,8 @@ DEPTHS = (1, 2, 4, WINDOW)
 BITS_MIN, BITS_MAX = 1 << 16, 1 << 27
 #: Words that have a code, at most (the table is broadcast); words without one are written in full.
 CODED = 65_000
+#: Bytes that name a suffix's subtree, and part of it if it is salted: a hash, and whether it is.
+TAG = 3
 _NO_ID = -(1 << 63)
 _CHARS = 1 << 21
 _WORDS_HELD = 400_000
@@ -70,13 +73,22 @@ def split_words(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
     return pa.Array.from_buffers(pa.binary(), len(lens), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[~space]))]), counts
 
 
+def _pieces(x: pa.BinaryArray) -> list[bytes]:
+    """x.to_pylist(), sooner."""
+    if not len(x):
+        return []
+    at = np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].tolist()
+    raw = x.buffers()[2].to_pybytes()
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 class Suffixes:
     """The windows of several texts: the text and place of each, and where it starts among all words."""
 
     def __init__(self, texts: list[bytes]):
         words, counts = split_words(texts)
         coded = words.dictionary_encode()
-        self.word, self.distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        self.word, self.distinct = coded.indices.to_numpy(), _pieces(coded.dictionary)
         self.hash = np.fromiter(map(xxhash.xxh3_64_intdigest, self.distinct), np.uint64, len(self.distinct))[self.word] if len(self.word) else np.zeros(0, np.uint64)
         ends = np.cumsum(counts)
         n = np.maximum(counts - WINDOW + 1, 0)
@@ -115,17 +127,101 @@ class Suffixes:
         of = [codes.get(w) or b"\xfe" + w + b" " for w in self.distinct]
         lens = np.fromiter(map(len, of), np.int64, len(of))
         flat, starts = np.frombuffer(b"".join(of), np.uint8), np.cumsum(lens) - lens
-        mark = np.zeros(len(self.word) + 1, np.int32)
-        np.add.at(mark, self.at, 1)
-        np.add.at(mark, self.at + WINDOW, -1)
+        n = len(self.word) + 1
+        mark = np.bincount(self.at, minlength=n) - np.bincount(self.at + WINDOW, minlength=n)
         used = np.cumsum(mark[:-1]) > 0  # only words on windows that are asked for are laid out
         own = np.where(used, lens[self.word], 0)
         stream = flat[np.repeat(starts[self.word], own) + np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)]
         upto = np.concatenate([[0], np.cumsum(own)])
         begin, size = upto[self.at], upto[self.at + WINDOW] - upto[self.at]
-        offsets = np.concatenate([[0], np.cumsum(size)])
-        data = stream[np.repeat(begin - offsets[:-1], size) + np.arange(offsets[-1])]
-        return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+        return _gathered(stream, begin, size)
+
+
+def _gathered(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.BinaryArray:
+    """These stretches of raw, each of more than 12 bytes, as views do not hold them themselves."""
+    views = np.zeros((len(size), 4), np.int32)
+    views[:, 0], views[:, 3] = size, begin
+    return pa.Array.from_buffers(pa.binary_view(), len(size), [None, pa.py_buffer(views), pa.py_buffer(raw)]).cast(pa.binary())
+
+
+def without_tag(key: pa.BinaryArray, at: np.ndarray) -> pa.BinaryArray:
+    """The words alone of the strings that stand at these places of what unpacked_leaves() gave."""
+    offsets = np.frombuffer(key.buffers()[1], np.int32).astype(np.int64)
+    return _gathered(np.frombuffer(key.buffers()[2], np.uint8), offsets[at] + TAG, offsets[at + 1] - offsets[at] - TAG)
+
+
+def packed_leaves(tag: np.ndarray, suffix: pa.BinaryArray, doc: np.ndarray, th: np.ndarray | None, pos: np.ndarray) -> pa.BinaryArray:
+    """A string of bytes for each suffix: TAG bytes of tag, its words, doc, th unless it is None, pos, and how long what follows the words is.
+
+    Words are prefix-free, so strings are in the order of tag, words, doc, th and pos. Numbers have leading zeros left
+    out: doc begins with 8 and its number of bytes, or with 0 if it is negative; pos with its number of bytes in two bits.
+    """
+    n = len(suffix)
+    big = lambda x: np.ascontiguousarray(x.astype(">u8")).view(np.uint8).reshape(n, 8)
+    size = lambda x, bits: sum(((x >> np.uint64(b)) > 0).astype(np.int64) for b in bits)
+    above, p = doc >= 0, pos.astype(np.uint64)
+    docs = big(np.where(above, doc, doc ^ _NO_ID).view(np.uint64))
+    doc_size = np.where(above, size(doc.view(np.uint64), range(0, 64, 8)), 8)
+    pos_size = 1 + size(p, (6, 14, 22))
+    places = big(p | (pos_size - 1).astype(np.uint64) << (8 * pos_size - 2).astype(np.uint64))
+    th_size = 0 if th is None else 8
+    tail = 2 + doc_size + th_size + pos_size
+    words = np.diff(np.frombuffer(suffix.buffers()[1], np.int32)[: n + 1]).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(TAG + words + tail)])
+    out = np.empty(offsets[-1], np.uint8)
+    tags, at = big(tag.astype(np.uint64)), offsets[:-1]
+    for j in range(TAG):
+        out[at + j] = tags[:, 8 - TAG + j]
+    spread = np.zeros(len(out) + 1, np.int8)
+    spread[at + TAG] = 1
+    spread[at + TAG + words] = -1
+    data = suffix.buffers()[2]
+    out[np.cumsum(spread[:-1], dtype=np.int8).view(bool)] = np.frombuffer(data, np.uint8)[: words.sum()] if n else []
+    at = at + TAG + words
+    out[at] = np.where(above, 8 + doc_size, 0)
+    at = at + 1
+    for j in range(8):
+        on = doc_size > j
+        out[at[on] + j] = docs[on, 8 - doc_size[on] + j]
+    at = at + doc_size
+    if th is not None:
+        told = big((th ^ _NO_ID).view(np.uint64))
+        for j in range(8):
+            out[at + j] = told[:, j]
+        at = at + 8
+    for j in range(4):
+        on = pos_size > j
+        out[at[on] + j] = places[on, 8 - pos_size[on] + j]
+    out[at + pos_size] = tail
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpacked_leaves(rows: pa.BinaryArray, with_th: bool) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray, np.ndarray | None, np.ndarray]:
+    """(tag and words, whether the tag is odd, doc, th, pos) of what packed_leaves() has made."""
+    n = len(rows)
+    offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + n + 1].astype(np.int64)
+    raw = np.frombuffer(rows.buffers()[2], np.uint8)
+    tail = raw[offsets[1:] - 1].astype(np.int64)
+    at = offsets[1:] - tail
+    size = at - offsets[:-1]
+    key = _gathered(raw, offsets[:-1], size)
+
+    def number(at: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
+        out = np.zeros(n, np.uint64)
+        for j in range(most):
+            on = size > j
+            out[on] = out[on] << np.uint64(8) | raw[at[on] + j].astype(np.uint64)
+        return out
+
+    head = raw[at].astype(np.int64)
+    doc_size = np.where(head > 0, head - 8, 8)
+    doc = number(at + 1, doc_size, 8).view(np.int64)
+    doc = np.where(head > 0, doc, doc ^ _NO_ID)
+    at = at + 1 + doc_size
+    th = number(at, np.full(n, 8), 8).view(np.int64) ^ _NO_ID if with_th else None
+    pos_size = tail - 2 - doc_size - (8 if with_th else 0)
+    pos = number(at + (8 if with_th else 0), pos_size, 4) & ((np.uint64(1) << (8 * pos_size - 2).astype(np.uint64)) - np.uint64(1))
+    return key, raw[offsets[:-1] + TAG - 1] & 1 == 1, doc, th, pos.astype(np.int32)
 
 
 def word_codes(words: list[bytes]) -> dict[bytes, bytes]:
@@ -192,7 +288,7 @@ def _statistics(docs: DataFrame, counters: int) -> DataFrame:
 
     found = docs.select("th", "text").mapInArrow(run, "kind int, key long, word binary, v long")
     found = found.groupBy("kind", "key", "word").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(F.when(F.col("kind") != 0, F.col("v"))).alias("n"))
-    return saved(found.where((F.col("kind") != 0) | (F.col("lo") < F.col("hi"))), "suffix-statistics")
+    return saved(found.where((F.col("kind") != 0) | (F.col("lo") < F.col("hi"))).select("kind", "key", "word", "n"), "suffix-statistics", release=True)
 
 
 def _bitmap(shared: DataFrame) -> np.ndarray:
@@ -240,7 +336,8 @@ def repeated_windows(docs: DataFrame, with_first: bool = False, one_text_a_doc:
     codes = word_codes([bytes(r["word"]) for r in stats.where("kind = -1").orderBy(F.desc("n"), "word").limit(CODED).select("word").collect()])
     bitmap = _bitmap(stats.where("kind = 0"))
     shipped = spark.sparkContext.broadcast((bitmap, counts > room, np.minimum(counts[-1] // room + 1, 1 << 14).astype(np.int64), codes))
-    schema = pa.schema([("subtree", pa.int32()), ("salt", pa.int32()), ("suffix", pa.binary()), ("doc", pa.int64()), ("th", pa.int64()), ("pos", pa.int32())])
+    drop_saved(stats)
+    schema = pa.schema([("leaf", pa.binary())])
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, large, salts, codes = shipped.value
@@ -259,43 +356,45 @@ def repeated_windows(docs: DataFrame, with_first: bool = False, one_text_a_doc:
                     fits = todo & ~large[k][(p % np.uint64(counters)).astype(np.int64)]
                     subtree[fits] = p[fits]
                     todo &= ~fits
-                doc, th = b.column(0).to_numpy()[s.doc], b.column(1).take(pa.array(s.doc))
+                doc, th = b.column(0).to_numpy()[s.doc], None if one_text_a_doc else b.column(1).fill_null(0).to_numpy()[s.doc]
                 n = np.where(todo, salts[(whole % np.uint64(counters)).astype(np.int64)], 1)
                 salt = np.where(n > 1, (_mix(doc.view(np.uint64)) % n.astype(np.uint64)).astype(np.int64) + 1, 0)
-                yield pa.RecordBatch.from_arrays([pa.array((subtree >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array(salt.astype(np.int32)), s.written(codes), pa.array(doc), th, pa.array(s.pos.astype(np.int32))], schema=schema)
+                tag = _mix(subtree + salt.astype(np.uint64)) >> np.uint64(65 - 8 * TAG) << np.uint64(1) | (salt > 0).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([packed_leaves(tag, s.written(codes), doc, th, s.pos)], schema=schema)
 
-    told_apart = F.lit(None).cast("long").alias("th") if one_text_a_doc else F.col("th")
-    dealt = docs.select("doc", told_apart, "text").mapInArrow(suffixes, "subtree int, salt int, suffix binary, doc long, th long, pos int")
-    dealt = dealt.repartition(parts, "subtree", "salt").drop("subtree").sortWithinPartitions("salt", "suffix", "doc", "th", "pos")
+    dealt = docs.select("doc", F.lit(None).cast("long").alias("th") if one_text_a_doc else "th", "text").mapInArrow(suffixes, "leaf binary")
+    dealt = dealt.repartition(parts, F.substring("leaf", 1, TAG)).sortWithinPartitions("leaf")
     leaf = ["doc", "th", "pos"]
     first_leaf = ["fdoc", "fth", "fpos"] if with_first else []
     types = {"suffix": pa.binary(), "doc": pa.int64(), "th": pa.int64(), "pos": pa.int32(), "fdoc": pa.int64(), "fth": pa.int64(), "fpos": pa.int32()}
     found_schema = pa.schema([(c, types[c]) for c in ["suffix", *leaf, *first_leaf]])
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple | None = None  # salt and words of the node that the last batch ended in, and its first leaf
+        last: bytes | None = None  # tag and words of the node that the last batch ended in, and its first leaf
         first: list = []
         for b in batches:
             if not b.num_rows:
                 continue
-            salt, suffix = b.column("salt").to_numpy(), b.column("suffix")
-            leaves = [b.column(c).fill_null(0).to_numpy() for c in (leaf if with_first else leaf[:1])]
-            same = pc.equal(suffix.slice(1), suffix.slice(0, len(suffix) - 1)).to_numpy(zero_copy_only=False) & (salt[1:] == salt[:-1])
-            new = np.concatenate([[last is None or last != (salt[0], suffix[0].as_py())], ~same])
+            key, salted, doc, th, pos = unpacked_leaves(b.column(0), not one_text_a_doc)
+            every = [doc, np.zeros(len(doc), np.int64) if th is None else th, pos]
+            leaves = every if with_first else every[:1]
+            same = pc.equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
+            new = np.concatenate([[last != key[0].as_py()], ~same])
             heads = np.flatnonzero(new)
             own = np.cumsum(new) - 1  # -1 goes on with the last batch's node
             low = [np.where(own >= 0, x[heads[np.maximum(own, 0)]] if len(heads) else 0, first[i] if first else 0) for i, x in enumerate(leaves)]
-            last, first = (salt[-1], suffix[-1].as_py()), [x[-1] for x in low]
+            last, first = key[-1].as_py(), [x[-1] for x in low]
             settled = leaves[0] > low[0]
-            told = np.flatnonzero(settled | (salt > 0))
+            told = np.flatnonzero(settled | salted)
             if len(told):
-                at = pa.array(told)
-                only_open = pa.array(np.where(settled[told], -1, told), mask=settled[told])  # words go on only with an open leaf
+                own_leaves = [pa.nulls(len(told), types[c]) if c == "th" and th is None else pa.array(x[told], types[c]) for c, x in zip(leaf, every)]
+                over = settled[told]
+                words = without_tag(key, told[~over]).take(pa.array(np.cumsum(~over) - 1, mask=over))  # only with an open leaf
                 firsts = [pa.array(x[told], types[c]) for c, x in zip(first_leaf, low)]
-                yield pa.RecordBatch.from_arrays([suffix.take(only_open), *(b.column(c).take(at) for c in leaf), *firsts], schema=found_schema)
+                yield pa.RecordBatch.from_arrays([words, *own_leaves, *firsts], schema=found_schema)
 
     spelled = {pa.binary(): "binary", pa.int64(): "long", pa.int32(): "int"}
-    found = saved(dealt.mapInArrow(nodes, ", ".join(f"{f.name} {spelled[f.type]}" for f in found_schema)), "repeat-leaves")
+    found = saved(dealt.mapInArrow(nodes, ", ".join(f"{f.name} {spelled[f.type]}" for f in found_schema)), "repeat-leaves", release=True)
     first = [F.struct(*[F.col(f).alias(c) for f, c in zip(first_leaf, leaf)]).alias("first")] if with_first else []
     settled = found.where("suffix is null").select(*leaf, *first)
     open_leaves = found.where("suffix is not null").select("suffix", *leaf)

@@ -5,6 +5,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -644,3 +645,32 @@ def test_tokens_query_checks_every_text(spark, tmp_path):
     frame(spark, texts()).write.parquet(f"{tmp_path}/documents.parquet")
     parity = {r["doc_id"]: r["parity"] for r in o10.query(spark, str(tmp_path)).collect()}
     assert parity == {i: None if t is None else True for i, t in enumerate(texts())}
+
+
+def test_packed_leaves_keep_order_and_numbers():
+    rng = np.random.default_rng(3)
+    doc = np.array([-(1 << 63), -5, -1, 0, 1, 255, 256, 1 << 40, (1 << 63) - 1])
+    pos = np.array([0, 63, 64, 16_383, 16_384, (1 << 22) - 1, 1 << 22, (1 << 30) - 1])
+    rows = [(int(t), s, int(d), int(h), int(p)) for t, s in ((2, b"\x00" * 13), (3, b"\x00" * 13), (2, b"\xc8\x00" * 13)) for d in doc for h in (-(1 << 63), 0, 7) for p in pos]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    t, s, d, h, p = zip(*rows)
+    for th in (np.array(h), None):
+        packed = o5.packed_leaves(np.array(t, np.uint64), pa.array(s, pa.binary()), np.array(d), th, np.array(p))
+        key, odd, d2, h2, p2 = o5.unpacked_leaves(packed.slice(5), th is not None)
+        assert [k[o5.TAG :] for k in key.to_pylist()] == list(s[5:]) and odd.tolist() == [x == 3 for x in t[5:]]
+        assert o5.without_tag(key, np.arange(3, len(key), 2)).to_pylist() == list(s[8::2]) and len(o5.without_tag(key, np.zeros(0, np.int64))) == 0
+        assert d2.tolist() == list(d[5:]) and p2.tolist() == list(p[5:]) and (h2 is None or h2.tolist() == list(h[5:]))
+        whole = rows if th is not None else [(a, b, c, 0, e) for a, b, c, _, e in rows]
+        assert [whole[i] for i in np.argsort(np.array(packed.to_pylist(), object), kind="stable")] == sorted(whole)
+    assert len(o5.packed_leaves(np.zeros(1, np.uint64), pa.array([b"x" * 24], pa.binary()), np.array([200_000]), None, np.array([300]))[0].as_py()) == 34
+    assert len(o5.packed_leaves(np.zeros(0, np.uint64), pa.array([], pa.binary()), np.zeros(0, np.int64), None, np.zeros(0, np.int64))) == 0
+
+
+def test_substrings_leave_no_shuffles_of_suffixes(spark):
+    rows = [(i, " ".join(f"own{i}x{k}" for k in range(400)) + f" {PASSAGE}") for i in range(300)]
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    sizes = lambda: sum(f.length() for f in (x for x in (manager.getAllFiles().apply(i) for i in range(manager.getAllFiles().size()))) if "shuffle_" in f.getName())
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    before = sizes()
+    assert d.count() == 300 and o5.repeated_windows(o5._keyed(d, "doc_id", "text"), one_text_a_doc=True).count() == 299 * 18
+    assert sizes() - before < 100_000
