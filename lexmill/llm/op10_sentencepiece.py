@@ -3,8 +3,9 @@
 The model file is read by a small wire-format reader: pieces with scores and types, the trainer's model type and byte
 fallback, and the normaliser's flags and character map. A unigram model keeps its scores; a BPE model's merges follow
 from its scores (a piece that two pieces make is a merge, better scores first). White space becomes the metaspace
-marker. Where no piece has a marker behind other characters, a text is cut before markers, as no merge crosses there.
-Encoding runs whole texts in batches, bounded by characters, through the library's threads.
+marker. Where no piece has a marker behind other characters, a text is cut before markers, as no merge crosses there;
+the library then encodes each distinct word once, and a text's ids are those of its words. Whole texts are encoded in
+batches, bounded by characters.
 """
 
 from __future__ import annotations
@@ -12,11 +13,15 @@ from __future__ import annotations
 import hashlib
 import importlib.util
 import os
+import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain, count, islice
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +33,14 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARK = "▁"
 
+#: A word: markers and what follows them up to the next marker.
+WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+
 #: Characters a batch may hold (a longer text is a batch of its own), and the library's threads in a task.
 BATCH_CHARS = 2_000_000
-THREADS = 2
+THREADS = 1
+#: Words are forgotten once they hold more characters than this; a later batch encodes its own anew.
+WORDS_CHARS = 4_000_000
 
 
 def default_model_path() -> str:
@@ -144,7 +154,7 @@ def build_tokenizer(m: Model):
         steps.append(normalizers.Replace(" ", MARK))
     t.normalizer = normalizers.Sequence(steps)
     if not any(MARK in p.lstrip(MARK) for p, _, _ in m.pieces):
-        t.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
+        t.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
     tail = [decoders.ByteFallback(), decoders.Fuse()]
     tail += [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []
     t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), *tail])
@@ -158,10 +168,68 @@ def _tokenizer(data: bytes):
     return build_tokenizer(parse_model(data))
 
 
+class Words:
+    """Encodes texts by their words, as the library's own cut makes them; it gets each distinct word once, until forgotten."""
+
+    def __init__(self, data: bytes):
+        from tokenizers import Tokenizer
+
+        m, t = parse_model(data), _tokenizer(data)
+        self.model = Tokenizer(t.model)
+        self.normalise = t.normalizer.normalize_str
+        if not m.char_map and not m.remove_extra_whitespaces:
+            self.normalise = lambda x: (" " * m.add_dummy_prefix + x).replace(" ", MARK if m.escape_whitespaces else " ")
+        self.find = re.compile(WORD).findall
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.chars = 0
+        self.ids, self.starts = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def _learn(self, known: int) -> None:
+        words = list(islice(reversed(self.number), len(self.number) - known))[::-1]
+        ids = [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+        self.chars += sum(map(len, words))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.chars > WORDS_CHARS:
+            self.forget()
+        words = [self.find(self.normalise(x)) if x else [] for x in texts]
+        n_words = np.fromiter(map(len, words), np.int64, len(words))
+        known = len(self.number)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
+        if len(self.number) > known:
+            self._learn(known)
+        begins, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(begins - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum(n_words)])]
+
+
+@lru_cache(maxsize=2)
+def _words(data: bytes) -> Words | None:
+    """None where the model's pieces join words."""
+    return Words(data) if _tokenizer(data).pre_tokenizer else None
+
+
+def encode_flat(data: bytes, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, and where each text's begin, with the end; an empty text has none."""
+    words = _words(data)
+    if words:
+        return words.encode(texts)
+    ids = [e.ids if x else [] for x, e in zip(texts, _tokenizer(data).encode_batch_fast(texts, add_special_tokens=False))]
+    ends = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)])
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1])), ends
+
+
 def encode_batch(data: bytes, texts: list[str]) -> list[list[int]]:
     """Ids of each text; an empty text has none."""
-    t = _tokenizer(data)
-    return [e.ids if x else [] for x, e in zip(texts, t.encode_batch_fast(texts, add_special_tokens=False))]
+    ids, ends = encode_flat(data, texts)
+    return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
 
 
 def decode_batch(data: bytes, ids: list[list[int]]) -> list[str]:
@@ -205,15 +273,17 @@ def encode(docs: DataFrame, text_col: str = "text", model_path: str | None = Non
                     to += 1
                 part = b.slice(at, to - at)
                 texts = part.column(text_col).to_pylist()
-                ids = encode_batch(data, [x or "" for x in texts])
-                cols = [pa.array([None if x is None else i for x, i in zip(texts, ids)], pa.list_(pa.int32())), pa.array([None if x is None else len(i) for x, i in zip(texts, ids)], pa.int64())]
+                flat, ends = encode_flat(data, [x or "" for x in texts])
+                ids = [flat[a:b] for a, b in zip(ends, ends[1:])]
+                null = np.array([x is None for x in texts], bool)
+                cols = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(null)), pa.array(np.diff(ends), pa.int64(), mask=null)]
                 names = ["ids", "n_tokens"]
                 if round_trip:
-                    cols.append(pa.array([None if x is None else d for x, d in zip(texts, decode_batch(data, ids))], pa.string()))
+                    cols.append(pa.array([None if x is None else d for x, d in zip(texts, decode_batch(data, [i.tolist() for i in ids]))], pa.string()))
                     names.append("decoded")
                 if verify_every:
                     chosen = [x is not None and (verify_every == 1 or xxhash.xxh64_intdigest(x.encode()) % verify_every == 0) for x in texts]
-                    cols.append(pa.array([_library(data).encode(x) == i if c else None for x, i, c in zip(texts, ids, chosen)], pa.bool_()))
+                    cols.append(pa.array([np.array_equal(_library(data).encode_as_numpy(x), i) if c else None for x, i, c in zip(texts, ids, chosen)], pa.bool_()))
                     names.append("parity")
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], names=[*part.schema.names, *names])
                 at = to

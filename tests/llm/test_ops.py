@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -647,6 +648,26 @@ def test_tokens_query_checks_every_text(spark, tmp_path):
     assert parity == {i: None if t is None else True for i, t in enumerate(texts())}
 
 
+def test_words_go_to_the_library_once_and_ids_are_those_of_whole_texts(monkeypatch):
+    data = o10.read_model(o10.default_model_path())
+    odd = [x or "" for x in texts()] + ["", " ", "  a  b ", "a▁b ▁ c", "日本語 テスト", " " * 70 + "x", "a\r\nb\n\nc", "\u0000ka 😀 a\u0301", "x" * 300]
+    limits = (o10.WORDS_CHARS, 50)
+    for model in (data, data + bytes([3 << 3 | 2, 2, 4 << 3, 1])):  # the second drops extra white space
+        t, words, sent = o10._tokenizer(model), o10.Words(model), []
+        library = words.model.encode_batch_fast
+        monkeypatch.setattr(words, "model", types.SimpleNamespace(encode_batch_fast=lambda x, **k: sent.extend(x) or library(x, **k)))
+        whole = [t.encode(x, add_special_tokens=False).ids if x else [] for x in odd]
+        for limit in limits:
+            monkeypatch.setattr(o10, "WORDS_CHARS", limit)
+            for part in (odd, odd[::-1], odd[:3]):
+                ids, ends = words.encode(part)
+                assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [whole[odd.index(x)] for x in part]
+            assert limit == 50 or len(sent) == len(set(sent)) == len(words.number)
+        assert max(map(len, sent)) >= 300 and len(sent) > len(set(sent))
+    ids, ends = o10.Words(data).encode(["", ""])
+    assert len(ids) == 0 and ends.tolist() == [0, 0, 0] and o10.encode_batch(data, []) == []
+
+
 def test_packed_leaves_keep_order_and_numbers():
     rng = np.random.default_rng(3)
     doc = np.array([-(1 << 63), -5, -1, 0, 1, 255, 256, 1 << 40, (1 << 63) - 1])
