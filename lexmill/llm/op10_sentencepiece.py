@@ -40,7 +40,7 @@ WORD = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
 BATCH_CHARS = 2_000_000
 THREADS = 1
 #: Words are forgotten once they hold more characters than this; a later batch encodes its own anew.
-WORDS_CHARS = 4_000_000
+WORDS_CHARS = 8_000_000
 
 
 def default_model_path() -> str:
@@ -157,7 +157,7 @@ def build_tokenizer(m: Model):
         t.pre_tokenizer = pre_tokenizers.Split(Regex(WORD), "isolated")
     tail = [decoders.ByteFallback(), decoders.Fuse()]
     tail += [decoders.Strip(" ", 1, 0)] if m.add_dummy_prefix else []
-    t.decoder = decoders.Sequence([decoders.Replace(MARK, " "), *tail])
+    t.decoder = decoders.Sequence([decoders.Metaspace(MARK, "never", False), *tail])
     return t
 
 

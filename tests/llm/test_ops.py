@@ -664,6 +664,8 @@ def test_words_go_to_the_library_once_and_ids_are_those_of_whole_texts(monkeypat
                 assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [whole[odd.index(x)] for x in part]
             assert limit == 50 or len(sent) == len(set(sent)) == len(words.number)
         assert max(map(len, sent)) >= 300 and len(sent) > len(set(sent))
+    byte, mark = {b: o10._library(data).piece_to_id(f"<0x{b:02X}>") for b in range(256)}, o10._library(data).piece_to_id(o10.MARK)
+    assert o10.decode_batch(data, [[mark, mark, byte[65]], [byte[b] for b in "▁a".encode()], [byte[0xE2], mark], []]) == [" A", "▁a", "\ufffd ", ""]
     ids, ends = o10.Words(data).encode(["", ""])
     assert len(ids) == 0 and ends.tolist() == [0, 0, 0] and o10.encode_batch(data, []) == []
 
